@@ -51,9 +51,19 @@ def classification_report(counts: DataFrame, by: Sequence[str] = ()) -> DataFram
     A figure whose denominator is 0 is 0. Each count is booked once for its true
     and once for its predicted class, so no join is needed.
     """
+    none = F.lit(0).cast("long")
+
+    def booked_for(label: str, support: Column, predicted: Column, hits: Column) -> Column:
+        return F.struct(
+            F.col(label).alias("label"),
+            support.alias("t"),
+            predicted.alias("p"),
+            hits.alias("h"),
+        )
+
     booking = F.array(
-        F.struct(F.col("truth").alias("label"), F.col("n").alias("t"), F.lit(0).cast("long").alias("p"), _hits().alias("h")),
-        F.struct(F.col("predicted"), F.lit(0).cast("long"), F.col("n"), F.lit(0).cast("long")),
+        booked_for("truth", F.col("n"), none, _hits()),
+        booked_for("predicted", none, F.col("n"), none),
     )
     booked = counts.select(*by, F.inline(booking)).filter(F.col("label").isNotNull())
     sums = booked.groupBy(*by, "label").agg(

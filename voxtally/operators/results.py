@@ -157,19 +157,23 @@ def label_counts(df: DataFrame, by: Sequence[str] = ("req_id",), label: str = "e
     return df.groupBy(*by, label).agg(F.count("*").alias("n"))
 
 
-def request_label_stats(
-    results: DataFrame, by: Sequence[str] = ("req_id",), label: str = "emotion_class"
-) -> DataFrame:
-    """Count and share in percent, to one decimal, of every label per request.
+def label_shares(counts: DataFrame, by: Sequence[str] = ("req_id",)) -> DataFrame:
+    """Share in percent, to one decimal, of each count ``n`` within its request.
 
     The window runs over the counted labels, a handful of rows per request.
     """
-    counts = label_counts(results, by, label)
     total = F.sum("n").over(Window.partitionBy(*by))
     share = F.round(F.col("n") * F.lit(100.0).cast("decimal(4,1)") / total, 1)
     return counts.withColumn("percentage", share.cast("double"))
 
 
+def request_label_stats(
+    results: DataFrame, by: Sequence[str] = ("req_id",), label: str = "emotion_class"
+) -> DataFrame:
+    """Rows and share of every label per request."""
+    return label_shares(label_counts(results, by, label), by)
+
+
 def top_label_per_request(
     results: DataFrame, by: Sequence[str] = ("req_id",), label: str = "emotion_class"
 ) -> DataFrame:

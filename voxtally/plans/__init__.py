@@ -1,6 +1,13 @@
 """Registered queries: each one an operator bound to the given tables, with its SQL check."""
 
-from voxtally.plans import label_queries, request_queries, text_queries  # noqa: F401
+from voxtally.plans import (  # noqa: F401
+    label_queries,
+    model_queries,
+    quality_queries,
+    request_queries,
+    store_queries,
+    text_queries,
+)
 from voxtally.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]
