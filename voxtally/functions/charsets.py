@@ -6,12 +6,14 @@ classes are avoided because every engine defines those differently.
 """
 
 # Fixed values -----------------------------------------------------------------
-WS = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
-NWS = r"[^\t-\r\x1c-\x20\x{85}\p{Z}]"
+# Characters below 256 are listed one by one: the JVM looks those up in a bit
+# set, while it tests ranges one after the other.
+WS_MEMBERS = r"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x{85}\x{A0}\p{Z}"
+WS = f"[{WS_MEMBERS}]"
+NWS = f"[^{WS_MEMBERS}]"
 WORD = r"[\p{L}\p{N}_]"
 
 # Inside a character class.
-WS_MEMBERS = r"\t-\r\x1c-\x20\x{85}\p{Z}"
 KEPT_PUNCTUATION = r".,!\\?()"
 
 BURMESE = r"\x{1000}-\x{109F}"

@@ -58,11 +58,11 @@ def clean_text(c: ColumnLike, keep: str = BURMESE) -> Column:
     """Drop links, mentions, tags and every character that is not kept.
 
     The order matters: a link is removed before the mentions inside it could be
-    taken for mentions of their own.
+    taken for mentions of their own. Mentions and tags cannot run into each other
+    and go in one pass.
     """
     c = F.regexp_replace(_col(c), f"http{NWS}+", "")
-    c = F.regexp_replace(c, f"@{WORD}+", "")
-    c = F.regexp_replace(c, f"#{WORD}+", "")
+    c = F.regexp_replace(c, f"[@#]{WORD}+", "")
     c = F.regexp_replace(c, f"[^{keep}{WS_MEMBERS}{KEPT_PUNCTUATION}]+", "")
     return collapse_spaces(c)
 

@@ -7,6 +7,7 @@ and unescaped letters), and a comment request must not get lost over that.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -19,25 +20,8 @@ CLIP_SEGMENT = "shorts"
 VIDEO_PARAMETER = "v"
 # ------------------------------------------------------------------------------
 
-_AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
-_PATH = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^/?#]*([^?#]*)"
-_QUERY = r"^[^?#]*\?([^#]*)"
-
-
-def url_authority(url: Column) -> Column:
-    """Host with port and user part; NULL when the address has no ``//`` part."""
-    return F.nullif(F.regexp_extract(url, _AUTHORITY, 1), F.lit(""))
-
-
-def url_path(url: Column) -> Column:
-    return F.regexp_replace(F.regexp_extract(url, _PATH, 1), ";[^/]*$", "")
-
-
-def query_parameter(url: Column, name: str) -> Column:
-    """First value of a query parameter that is not blank, percent-decoded."""
-    raw = F.regexp_extract(F.regexp_extract(url, _QUERY, 1), f"(?:^|&){name}=([^&]+)", 1)
-    decoded = F.coalesce(F.try_url_decode(raw), F.translate(raw, "+", " "))
-    return F.nullif(decoded, F.lit(""))
+_AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//"
+_HOST = r"[^/?#]*"
 
 
 def extract_video_id(
@@ -47,19 +31,30 @@ def extract_video_id(
     clip_segment: str = CLIP_SEGMENT,
     parameter: str = VIDEO_PARAMETER,
 ) -> Column:
-    """Id of the video an address points at, NULL where it points at none."""
+    """Id of the video an address points at, NULL where it points at none.
+
+    A short address carries the id as its path, a clip as the last segment of the
+    path, any other as a query parameter, of which the first that is not blank
+    counts. Three patterns exclude each other, so that the id is what they give
+    together and every pattern is tried once.
+    """
     url = F.col(url) if isinstance(url, str) else url
     url = F.translate(F.ltrim(url), "\t\r\n", "")
-    authority, path = url_authority(url), url_path(url)
-    found = (
-        F.when(F.contains(authority, F.lit(short_host)), F.regexp_replace(path, "^/+", ""))
-        .when(
-            F.contains(authority, F.lit(long_host)) & F.contains(path, F.lit(clip_segment)),
-            F.substring_index(path, "/", -1),
-        )
-        .when(F.contains(authority, F.lit(long_host)), query_parameter(url, parameter))
+    short, long = re.escape(short_host), re.escape(long_host)
+    in_long = f"{_AUTHORITY}(?!{_HOST}{short}){_HOST}{long}{_HOST}"
+    in_clip = f"(?=[^?#]*{re.escape(clip_segment)})"
+
+    by_path = F.regexp_extract(url, f"{_AUTHORITY}{_HOST}{short}{_HOST}/+([^?#]*?)(?:;[^/?#]*)?(?:[?#]|$)", 1)
+    by_segment = F.regexp_extract(
+        url, f"{in_long}{in_clip}[^?#]*/([^/?#;]*)(?:;[^/?#]*)?(?:[?#]|$)", 1
+    )
+    by_parameter = F.regexp_extract(
+        url, f"{in_long}(?!{in_clip})[^?#]*[?](?:[^#]*?&)??{re.escape(parameter)}=([^&#]+)", 1
     )
-    return F.nullif(found, F.lit(""))
+    # A percent sign that starts no escape is meant literally.
+    escaped = F.regexp_replace(by_parameter, "%(?![0-9A-Fa-f]{2})", "%25")
+    found = F.concat(by_path, by_segment, F.url_decode(escaped))
+    return F.when(found != "", found)
 
 
 def is_video_url(

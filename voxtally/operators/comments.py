@@ -58,12 +58,14 @@ def preprocess(
 
     Rejected rows stay, with the reason and without text, so that they count as
     seen and are not read again in every run. Cleaning only runs on rows that
-    pass the script filter.
+    pass the script filter, and the cleaned text comes out of a generator: a later
+    filter on the outcome then cannot be moved below it, where the patterns would
+    be matched a second time.
     """
     source = F.col(text)
     in_script = T.is_script(source, ranges, min_ratio)
     cleaned = F.when(in_script, T.clean_text(T.apply_rewrite_rules(source, rules), keep))
-    staged = df.withColumn("_clean", cleaned)
+    staged = df.select("*", F.explode(F.array(cleaned)).alias("_clean"))
     long_enough = F.col("_clean").isNotNull() & T.has_min_length("_clean", min_length)
     reason = (
         F.when(long_enough, F.lit(None).cast("string"))

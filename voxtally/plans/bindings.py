@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from voxtally.functions.charsets import KEPT_PUNCTUATION, NWS, WORD, WS, WS_MEMBERS
 from voxtally.operators.comments import accepted, preprocess
 from voxtally.operators.results import PENDING, finalizable
-from voxtally.sources.files import read_table
+from voxtally.sources.files import read_table, spread
 
 # Fixed values -----------------------------------------------------------------
 ACCENTS = r"\x{C0}-\x{FF}"
@@ -242,6 +242,11 @@ class Tables:
     def documents(self) -> DataFrame:
         return self.given("documents")
 
+    @property
+    def texts(self) -> DataFrame:
+        """Documents for work that costs much more per row than reading it does."""
+        return spread(self.documents)
+
     @property
     def events(self) -> DataFrame:
         return self.given("events")
@@ -274,7 +279,10 @@ class Tables:
 
     @property
     def raw_comments(self) -> DataFrame:
-        return self.documents.select(
+        return self._raw_comments(self.documents)
+
+    def _raw_comments(self, documents: DataFrame) -> DataFrame:
+        return documents.select(
             F.col("doc_id").cast("string").alias("comment_id"),
             F.col("lang").alias("video_id"),
             F.substr("source", F.lit(4)).cast("int").alias("req_id"),
@@ -284,7 +292,8 @@ class Tables:
 
     @property
     def all_preprocessed(self) -> DataFrame:
-        return preprocess(self.raw_comments, ranges=ACCENTS, keep=LATIN, min_ratio=MIN_RATIO)
+        rows = self._raw_comments(self.texts)
+        return preprocess(rows, ranges=ACCENTS, keep=LATIN, min_ratio=MIN_RATIO)
 
     @property
     def preprocessed_comments(self) -> DataFrame:

@@ -86,7 +86,7 @@ _VOCABULARY = f"""
 
 @query("vocabulary", _VOCABULARY)
 def words_ranked(t):
-    return E.vocabulary(t.documents, "text", 5000)
+    return E.vocabulary(t.texts, "text", 5000)
 
 
 @query(
@@ -106,8 +106,8 @@ def words_ranked(t):
     FROM documents d LEFT JOIN ids USING (doc_id)""",
 )
 def texts_encoded(t):
-    vocab = E.vocabulary(t.documents, "text", 5000)
-    encoded = E.encode_fixed_length(t.documents, vocab, max_length=64)
+    vocab = E.vocabulary(t.texts, "text", 5000)
+    encoded = E.encode_fixed_length(t.texts, vocab, max_length=64)
     return encoded.select(
         "doc_id",
         F.array_join("input_ids", " ").alias("input_ids"),
@@ -181,7 +181,7 @@ _NAME = "CASE class_id WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' ELSE 'neutr
         FROM ({_BATCH.format(key="doc_id", extra="", table="documents")})""",
 )
 def scored_in_batches(t):
-    rows = t.documents.select("doc_id", "text")
+    rows = t.texts.select("doc_id", "text")
     scored = score_batches(rows, "text", vowel_model, SENTIMENT_OF_CLASS)
     return scored.select("doc_id", "class_id", "label", F.round("confidence", 6).alias("confidence"))
 
@@ -194,7 +194,7 @@ def scored_in_batches(t):
     ["labelled"],
 )
 def predictions_attached(t):
-    scored = score_batches(t.documents.select("doc_id", "text"), "text", vowel_model, SENTIMENT_OF_CLASS)
+    scored = score_batches(t.texts.select("doc_id", "text"), "text", vowel_model, SENTIMENT_OF_CLASS)
     attached = attach_predictions(t.labelled, scored, "doc_id")
     return attached.withColumn("confidence", F.round("confidence", 6))
 

@@ -121,7 +121,7 @@ _LEGACY = f"{sql_markers('text', LEGACY)} > {sql_markers('text', MODERN)}"
         FROM (SELECT {_LEGACY} AS legacy FROM documents) GROUP BY legacy""",
 )
 def encoding_audit(t):
-    return _rounded(P.encoding_audit(t.documents, legacy=LEGACY, modern=MODERN), "percentage")
+    return _rounded(P.encoding_audit(t.texts, legacy=LEGACY, modern=MODERN), "percentage")
 
 
 @query(
@@ -133,7 +133,7 @@ def encoding_audit(t):
         GROUP BY lang""",
 )
 def text_length_profile(t):
-    return _rounded(P.text_length_profile(t.documents, ["lang"]), "avg_chars", "avg_words")
+    return _rounded(P.text_length_profile(t.texts, ["lang"]), "avg_chars", "avg_words")
 
 
 @query(

@@ -37,7 +37,7 @@ RULES = (("œ", "oe"), ("([éèê])n", "en"), ("ß", "ss"))
         FROM documents""",
 )
 def script_ratio(t):
-    return t.documents.select(
+    return t.texts.select(
         "doc_id",
         F.round(T.script_ratio("text", ACCENTS), 6).alias("ratio"),
         T.is_script("text", ACCENTS, MIN_RATIO).alias("in_script"),
@@ -46,7 +46,7 @@ def script_ratio(t):
 
 @query("clean_text", f"SELECT doc_id, {sql_clean('text')} AS cleaned FROM documents")
 def clean_text(t):
-    return t.documents.select("doc_id", T.clean_text("text", LATIN).alias("cleaned"))
+    return t.texts.select("doc_id", T.clean_text("text", LATIN).alias("cleaned"))
 
 
 _LIGHT = sql_collapse(sql_replace(sql_replace("text", f"http{NWS}+|www{NWS}+"), f"@{WORD}+"))
@@ -54,7 +54,7 @@ _LIGHT = sql_collapse(sql_replace(sql_replace("text", f"http{NWS}+|www{NWS}+"),
 
 @query("light_clean", f"SELECT doc_id, coalesce({_LIGHT}, '') AS cleaned FROM documents")
 def light_clean(t):
-    return t.documents.select("doc_id", T.light_clean("text").alias("cleaned"))
+    return t.texts.select("doc_id", T.light_clean("text").alias("cleaned"))
 
 
 _REWRITTEN = "text"
@@ -64,7 +64,7 @@ for _pattern, _replacement in RULES:
 
 @query("rewrite_rules", f"SELECT doc_id, {_REWRITTEN} AS converted FROM documents")
 def rewrite_rules(t):
-    return t.documents.select("doc_id", T.apply_rewrite_rules("text", RULES).alias("converted"))
+    return t.texts.select("doc_id", T.apply_rewrite_rules("text", RULES).alias("converted"))
 
 
 _IS_LEGACY = f"coalesce({sql_markers('text', LEGACY)} > {sql_markers('text', MODERN)}, false)"
@@ -77,7 +77,7 @@ _IS_LEGACY = f"coalesce({sql_markers('text', LEGACY)} > {sql_markers('text', MOD
         FROM documents""",
 )
 def legacy_encoding_flag(t):
-    return t.documents.select(
+    return t.texts.select(
         "doc_id",
         T.marker_score("text", LEGACY).alias("legacy_score"),
         T.marker_score("text", MODERN).alias("unicode_score"),
@@ -87,7 +87,7 @@ def legacy_encoding_flag(t):
 
 @query("drop_legacy_rows", f"SELECT doc_id, text FROM documents WHERE NOT {_IS_LEGACY}")
 def legacy_rows_dropped(t):
-    return drop_legacy_rows(t.documents.select("doc_id", "text"), legacy=LEGACY, modern=MODERN)
+    return drop_legacy_rows(t.texts.select("doc_id", "text"), legacy=LEGACY, modern=MODERN)
 
 
 @query(
@@ -96,7 +96,7 @@ def legacy_rows_dropped(t):
 )
 def min_length(t):
     cleaned = T.clean_text("text", ACCENTS)
-    return t.documents.filter(T.has_min_length(cleaned, 5)).select("doc_id", "text")
+    return t.texts.filter(T.has_min_length(cleaned, 5)).select("doc_id", "text")
 
 
 @query(
@@ -106,7 +106,7 @@ def min_length(t):
         FROM documents""",
 )
 def tokenize(t):
-    tokens = t.documents.select("doc_id", T.tokenize("text").alias("tokens"))
+    tokens = t.texts.select("doc_id", T.tokenize("text").alias("tokens"))
     return tokens.select(
         "doc_id", F.array_join("tokens", "|").alias("tokens"), F.size("tokens").alias("token_count")
     )
@@ -121,7 +121,7 @@ _SEGMENTED = sql_replace(sql_replace("text", f"[{LATIN}]+", r" \0 "), "[ÀÇÉÈ
 )
 def segment_script_runs(t):
     segmented = T.segment_script_runs("text", LATIN, "[ÀÇÉÈÊàçéèêäöü]")
-    return t.documents.select("doc_id", segmented.alias("segmented"))
+    return t.texts.select("doc_id", segmented.alias("segmented"))
 
 
 @query(

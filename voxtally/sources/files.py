@@ -17,6 +17,17 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Distribute a table that comes in fewer splits than there are cores.
+
+    A small file is read by one task, and so would be matched against patterns by
+    one task. Tables with splits for every core are left as they are: their rows
+    are never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_labeled_csv(
     spark: SparkSession,
     path: str,
