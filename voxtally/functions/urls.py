@@ -22,6 +22,7 @@ VIDEO_PARAMETER = "v"
 
 _AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//"
 _HOST = r"[^/?#]*"
+_HOST_END = r"[^/?#]*(?=[/?#]|$)"
 
 
 def extract_video_id(
@@ -41,10 +42,14 @@ def extract_video_id(
     url = F.col(url) if isinstance(url, str) else url
     url = F.translate(F.ltrim(url), "\t\r\n", "")
     short, long = re.escape(short_host), re.escape(long_host)
-    in_long = f"{_AUTHORITY}(?!{_HOST}{short}){_HOST}{long}{_HOST}"
-    in_clip = f"(?=[^?#]*{re.escape(clip_segment)})"
+    in_long = f"{_AUTHORITY}(?!{_HOST}{short}){_HOST}{long}{_HOST_END}"
+    # Parameters after a semicolon in the last segment are not part of the path.
+    clip = re.escape(clip_segment)
+    in_clip = f"(?=(?:[^?#]*/)?[^/?#;]*{clip}|[^?#]*{clip}[^?#]*/)"
 
-    by_path = F.regexp_extract(url, f"{_AUTHORITY}{_HOST}{short}{_HOST}/+([^?#]*?)(?:;[^/?#]*)?(?:[?#]|$)", 1)
+    by_path = F.regexp_extract(
+        url, f"{_AUTHORITY}{_HOST}{short}{_HOST_END}/+([^?#]*?)(?:;[^/?#]*)?(?:[?#]|$)", 1
+    )
     by_segment = F.regexp_extract(
         url, f"{in_long}{in_clip}[^?#]*/([^/?#;]*)(?:;[^/?#]*)?(?:[?#]|$)", 1
     )

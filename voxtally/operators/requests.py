@@ -40,7 +40,9 @@ def has_new(requests: DataFrame, status: str = "NEW") -> DataFrame:
 
 def valid_submissions(submissions: DataFrame, url: str = "video_url") -> DataFrame:
     """Submitted addresses that point at a video, with its id."""
-    found = submissions.filter(is_video_url(url)).withColumn("video_id", extract_video_id(url))
+    found = submissions.filter(is_video_url(url))
+    # Out of a generator, so that the filter on it does not extract a second time.
+    found = found.select("*", F.explode(F.array(extract_video_id(url))).alias("video_id"))
     return found.filter(F.col("video_id").isNotNull())
 
 

@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IDF, HashingTF
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from voxtally.functions.text import tokenize
 from voxtally.operators.features import class_weights
 from voxtally.operators.groups import split_by_share
+from voxtally.operators.metrics import classification_report, outcome_counts
 
 # Fixed values -----------------------------------------------------------------
 VALIDATION_SHARE = 0.2
@@ -58,31 +58,36 @@ def train_classifier(
     """
     rows = training_rows(class_weights(df, label=label), text, label_id)
     split = split_by_share(rows, [label], key, share, seed, "_held_out")
-    columns = [key, "words", "target", "weight"]
-    train = split.filter(~F.col("_held_out")).select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
-    held_out = split.filter("_held_out").select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
+    words = split.select(key, "words", "target", "weight", "_held_out")
+    train_words = words.filter(~F.col("_held_out"))
 
-    def evaluate(model: PipelineModel, metric: str) -> float:
-        evaluator = MulticlassClassificationEvaluator(labelCol="target", metricName=metric)
-        return evaluator.evaluate(model.transform(held_out))
+    # Features do not depend on the candidate: they are computed once for all.
+    hashing = HashingTF(inputCol="words", outputCol="counts", numFeatures=features)
+    extractor = Pipeline(stages=[hashing, IDF(inputCol="counts", outputCol="features")])
+    extractor = extractor.fit(train_words)
+    columns = ["features", "target", "weight", "_held_out"]
+    ready = extractor.transform(words).select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
+    train, held_out = ready.filter(~F.col("_held_out")), ready.filter("_held_out")
 
     fits = []
     try:
         for reg in reg_params:
-            stages = [
-                HashingTF(inputCol="words", outputCol="counts", numFeatures=features),
-                IDF(inputCol="counts", outputCol="features"),
-                LogisticRegression(
-                    labelCol="target",
-                    weightCol="weight",
-                    family="multinomial",
-                    maxIter=max_iter,
-                    regParam=reg,
-                ),
-            ]
-            model = Pipeline(stages=stages).fit(train)
-            fits.append(Candidate(reg, evaluate(model, "accuracy"), evaluate(model, "f1"), model))
+            model = LogisticRegression(
+                labelCol="target",
+                weightCol="weight",
+                family="multinomial",
+                maxIter=max_iter,
+                regParam=reg,
+            ).fit(train)
+            scored = model.transform(held_out).select("target", "prediction")
+            report = classification_report(outcome_counts(scored, "target", "prediction"))
+            scores = report.agg(
+                F.sum(F.col("recall") * F.col("support")).alias("hits"),
+                F.sum(F.col("f1") * F.col("support")).alias("f1"),
+                F.sum("support").alias("n"),
+            ).first()
+            whole = PipelineModel(stages=[*extractor.stages, model])
+            fits.append(Candidate(reg, scores["hits"] / scores["n"], scores["f1"] / scores["n"], whole))
     finally:
-        train.unpersist()
-        held_out.unpersist()
+        ready.unpersist()
     return max(fits, key=lambda c: c.f1), fits
