@@ -41,11 +41,11 @@ def test_published_totals(golden):
     f1 = M.f1_scores(report).first()
     assert total.samples == 597 and round(total.accuracy, 3) == 0.863
     assert round(f1.f1_weighted, 3) == 0.862 and round(f1.f1_macro, 2) == 0.86
-    for weighted in (False, True):
-        r = M.average_scores(report, weighted).first()
+    averages = {r.average: r for r in M.average_scores(report).collect()}
+    for r in averages.values():
         assert (round(r.precision, 2), round(r.recall, 2), round(r.f1, 2)) == (0.87, 0.86, 0.86)
     # Recall weighted by support is the accuracy.
-    assert M.average_scores(report, True).first().recall == pytest.approx(total.accuracy)
+    assert averages["weighted avg"].recall == pytest.approx(total.accuracy)
 
 
 def test_confusion_matrix(golden):

@@ -222,6 +222,43 @@ def test_jdbc_url():
         jdbc.jdbc_url("oracle", "h", 1, "d")
 
 
+class Recorder:
+    """Stands in for a session: notes what a reader is asked for."""
+
+    def __init__(self, bounds):
+        self.bounds, self.seen, self.read = bounds, {}, self
+
+    def format(self, name):
+        self.seen["format"] = name
+        return self
+
+    def options(self, **options):
+        self.seen.update(options)
+        return self
+
+    def load(self):
+        return self
+
+    def agg(self, *_):
+        return self
+
+    def first(self):
+        return self.bounds
+
+
+def test_jdbc_reads_in_slices(spark):
+    seen = jdbc.read_jdbc(Recorder((3, 90)), "jdbc:x", "raw_comments", "req_id", 8).seen
+    assert seen["dbtable"] == "raw_comments" and seen["format"] == "jdbc"
+    assert (seen["lowerBound"], seen["upperBound"], seen["numPartitions"]) == ("3", "90", "8")
+    assert "partitionColumn" not in jdbc.read_jdbc(Recorder((None, None)), "jdbc:x", "t", "id").seen
+    assert "partitionColumn" not in jdbc.read_jdbc(Recorder(None), "jdbc:x", "t").seen
+
+
+def test_stamped_path():
+    at = datetime(2024, 1, 31, 23, 59, 59)
+    assert files.stamped_path("/x/", "review_queue", at) == "/x/review_queue_20240131_235959"
+
+
 def test_catalog(spark):
     db = f"store_{uuid.uuid4().hex[:8]}"
     plan = catalog.create_tables(spark, db, dry_run=True)

@@ -23,3 +23,13 @@ def seeded_order(seed: int, key: Column | str) -> Column:
     """A pseudo-random order over a unique key that every run and engine repeats."""
     key = F.col(key) if isinstance(key, str) else key
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+
+
+def compact(c: Column | str) -> Column:
+    """A string, or its digest where it is longer than that would be; NULL stays NULL.
+
+    Digests are marked and longer than every string that is kept, so the two
+    cannot be mistaken for each other.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(F.length(c) > 64, F.concat(F.lit("#"), F.sha2(c, 256))).otherwise(c)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxtally.functions.labels import CLASS_WEIGHTS, lookup
 from voxtally.functions.text import tokenize
+from voxtally.operators.groups import bounded_broadcast
 
 # Fixed values -----------------------------------------------------------------
 PAD_ID = 0
@@ -18,6 +19,8 @@ MAX_LENGTH = 128
 VOCABULARY_SIZE = 30_000
 # ------------------------------------------------------------------------------
 
+MAX_BROADCAST_WORDS = 100_000
+
 
 def label_index(df: DataFrame, label: str = "label") -> DataFrame:
     """Distinct labels in alphabetical order, numbered from 0.
@@ -31,7 +34,8 @@ def label_index(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def index_labels(df: DataFrame, label: str = "label") -> DataFrame:
-    return df.join(label_index(df, label), label)
+    """Add ``label_id``. The few classes are sent to every task, so rows stay where they are."""
+    return df.join(bounded_broadcast(label_index(df, label)), label)
 
 
 def class_weights(
@@ -63,11 +67,12 @@ def encode_fixed_length(
     """Word ids of every text, cut and padded to ``max_length``, with the mask.
 
     A text is cut before its words are looked up: the encoding has a fixed
-    length, so no group is larger than that.
+    length, so no group is larger than that. A vocabulary of usual size is sent
+    to every task; frequent words then are no hot keys.
     """
     tokens = F.slice(F.coalesce(tokenize(text), F.array().cast("array<string>")), 1, max_length)
     words = df.select(key, F.posexplode_outer(tokens).alias("_at", "word"))
-    found = words.join(vocab, "word", "left")
+    found = words.join(bounded_broadcast(vocab, MAX_BROADCAST_WORDS), "word", "left")
     word_id = F.when(F.col("word").isNotNull(), F.coalesce("word_id", F.lit(UNKNOWN_ID)))
     entry = F.when(F.col("word").isNotNull(), F.struct("_at", word_id.alias("id")))
     grouped = found.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("_entries"))

@@ -10,6 +10,7 @@ from pyspark.sql.types import StringType
 
 from voxtally.functions.labels import SENTIMENTS, is_null_like
 from voxtally.functions.text import is_blank, strip
+from voxtally.operators.groups import bounded_broadcast
 
 # Fixed values -----------------------------------------------------------------
 TEXT_COLUMNS = ("cleaned_text", "cleaned_test", "text")
@@ -87,12 +88,14 @@ def lookup_label(
 
     Keys are compared stripped. A key listed several times counts once: with the
     class of its last entry by ``position``, or with the largest class if the
-    table has no such column. Catalyst sends the table to every task only if its
-    size allows; above that the join shuffles and splits labels that are frequent.
+    table has no such column. The table is sent to every task after a count has
+    shown that it is small; a larger one is joined by shuffling, where labels with
+    very many rows are split.
     """
     last = F.max_by(target, position) if position else F.max(target)
     unique = mapping.groupBy(strip(source).alias("_key")).agg(last.alias(name))
-    joined = df.withColumn("_key", strip(column)).join(unique, "_key", "left").drop("_key")
+    keyed = df.withColumn("_key", strip(column))
+    joined = keyed.join(bounded_broadcast(unique), "_key", "left").drop("_key")
     if default is None:
         return joined
     return joined.withColumn(name, F.coalesce(name, F.lit(default)))

@@ -91,10 +91,17 @@ def _mean(column: str, weighted: bool) -> Column:
     return F.try_divide(F.sum(F.col(column) * F.col("support")), F.sum("support"))
 
 
-def average_scores(report: DataFrame, weighted: bool, by: Sequence[str] = ()) -> DataFrame:
-    """The macro (plain mean) or support-weighted row of a report."""
-    cols = [_mean(c, weighted).alias(c) for c in ("precision", "recall", "f1")]
-    return report.groupBy(*by).agg(*cols, F.sum("support").alias("support"))
+def average_scores(report: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The ``macro avg`` (plain mean) and ``weighted avg`` (by support) rows of a report."""
+    scores = ("precision", "recall", "f1")
+    kinds = {"macro avg": False, "weighted avg": True}
+    means = [_mean(c, w).alias(f"{c}/{k}") for k, w in kinds.items() for c in scores]
+    both = report.groupBy(*by).agg(*means, F.sum("support").alias("support"))
+    rows = [
+        F.struct(F.lit(k).alias("average"), *[F.col(f"{c}/{k}").alias(c) for c in scores])
+        for k in kinds
+    ]
+    return both.select(*by, F.inline(F.array(*rows)), "support")
 
 
 def f1_scores(report: DataFrame, by: Sequence[str] = ()) -> DataFrame:

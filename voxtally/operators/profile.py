@@ -6,9 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import DoubleType, FloatType, StringType
 
-from voxtally.functions.keys import content_key
+from voxtally.functions.keys import compact, content_key
 from voxtally.functions.text import is_legacy_encoded, tokenize
 
 
@@ -51,8 +51,10 @@ def missing_profile(df: DataFrame, only_missing: bool = True) -> DataFrame:
 
 
 def n_unique(df: DataFrame, *columns: str) -> DataFrame:
-    """Distinct values per column, NULL not counted."""
-    counts = df.agg(*[F.countDistinct(c).alias(c) for c in columns])
+    """Distinct values per column, NULL not counted. Long texts are told apart by digest."""
+    strings = {f.name for f in df.schema.fields if isinstance(f.dataType, StringType)}
+    keys = {c: compact(c) if c in strings else F.col(c) for c in columns}
+    counts = df.agg(*[F.countDistinct(key).alias(c) for c, key in keys.items()])
     return _long(counts, columns, "column_name", "n_unique")
 
 

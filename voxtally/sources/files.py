@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -22,7 +23,8 @@ def spread(df: DataFrame) -> DataFrame:
 
     A small file is read by one task, and so would be matched against patterns by
     one task. Tables with splits for every core are left as they are: their rows
-    are never shuffled for this.
+    are never shuffled for this. Meant for tables as they are read: asking a
+    shuffled one for its partitions would run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
@@ -56,6 +58,11 @@ def write_csv(
     writer.option("maxRecordsPerFile", max_records_per_file).csv(path)
 
 
+def stamped_path(folder: str, name: str, at: datetime) -> str:
+    """Where an export of that time goes, such as ``folder/review_queue_20240131_235959``."""
+    return f"{folder.rstrip('/')}/{name}_{at:%Y%m%d_%H%M%S}"
+
+
 def read_comment_pages(spark: SparkSession, path: str) -> DataFrame:
     """Landed response pages, one JSON document per line, as text in ``body``."""
     return spark.read.text(path).withColumnRenamed("value", "body")
