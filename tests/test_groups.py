@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxtally.operators import groups as G
+from voxtally.operators import sides
 
 
 @pytest.fixture(scope="module")
@@ -69,17 +70,17 @@ def test_split(skewed, share):
 
 
 def test_split_of_more_groups_than_are_broadcast(skewed, monkeypatch):
-    monkeypatch.setattr(G, "bounded_broadcast", lambda df: df)
+    monkeypatch.setattr(sides, "MAX_BROADCAST_ROWS", 0)
     split = G.split_by_share(skewed, ["g"], "id", 0.25, seed=3).collect()
     for rows in by_group(split).values():
         assert sum(r.is_test for r in rows) == int(0.25 * len(rows) + 0.5)
 
 
 def test_bounded_broadcast_gives_up_on_large_sides(spark):
-    small = G.bounded_broadcast(spark.range(3), max_rows=3)
+    small = sides.bounded_broadcast(spark.range(3), max_rows=3)
     assert small.count() == 3 and "broadcast" in small._jdf.queryExecution().logical().toString()
     large = spark.range(4)
-    assert G.bounded_broadcast(large, max_rows=3) is large
+    assert sides.bounded_broadcast(large, max_rows=3) is large
 
 
 @pytest.mark.parametrize("n", [0, 1, 700, 2000, 5000])

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from voxtally.operators import comments as C
 from voxtally.operators import results as S
+from voxtally.operators import sides
 from voxtally.operators.profile import value_counts
 
 
 @pytest.fixture
-def small_thresholds(spark):
-    """What counts as too large for one task is set to the size of the test data."""
+def small_thresholds(spark, monkeypatch):
+    """What counts as too large, for one task or to broadcast, is set to the size of the test data."""
+    monkeypatch.setattr(sides, "MAX_BROADCAST_ROWS", 100)
     wanted = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
@@ -80,3 +82,9 @@ def test_the_total_of_value_counts_reuses_the_counts(spark, comments):
     df = value_counts(comments, "req_id", order=False)
     rows, plan = final_plan(df)
     assert rows == 600 and "ReusedExchange" in plan.split("Initial Plan")[0]
+
+
+def test_few_requests_leave_the_comments_where_they_are(spark, comments, requests):
+    fetched = C.for_requests_in_status(comments, requests)
+    plan = fetched._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from voxtally.functions import text as T
 from voxtally.functions.charsets import BURMESE
 from voxtally.operators.groups import top_n_per_group
+from voxtally.operators.sides import bounded_broadcast
 from voxtally.schemas import COMMENT_PAGE_DDL
 
 # Fixed values -----------------------------------------------------------------
@@ -99,9 +100,14 @@ def unprocessed(source: DataFrame, done: DataFrame, key: str = "comment_id") ->
 def for_requests_in_status(
     df: DataFrame, requests: DataFrame, status: str | Sequence[str] = "FETCHED"
 ) -> DataFrame:
-    """Rows that belong to a request in one of the given states."""
+    """Rows that belong to a request in one of the given states.
+
+    Such requests are few as a rule; their ids then go to the comments and not the
+    comments to the requests.
+    """
     wanted = [status] if isinstance(status, str) else list(status)
-    return df.join(requests.filter(F.col("status").isin(wanted)).select("req_id"), "req_id", "left_semi")
+    ids = requests.filter(F.col("status").isin(wanted)).select("req_id")
+    return df.join(bounded_broadcast(ids), "req_id", "left_semi")
 
 
 def preprocessing_backlog(

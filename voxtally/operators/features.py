@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxtally.functions.labels import CLASS_WEIGHTS, lookup
 from voxtally.functions.text import tokenize
-from voxtally.operators.groups import bounded_broadcast
+from voxtally.operators.sides import bounded_broadcast
 
 # Fixed values -----------------------------------------------------------------
 PAD_ID = 0
@@ -19,8 +19,6 @@ MAX_LENGTH = 128
 VOCABULARY_SIZE = 30_000
 # ------------------------------------------------------------------------------
 
-MAX_BROADCAST_WORDS = 100_000
-
 
 def label_index(df: DataFrame, label: str = "label") -> DataFrame:
     """Distinct labels in alphabetical order, numbered from 0.
@@ -72,11 +70,14 @@ def encode_fixed_length(
     """
     tokens = F.slice(F.coalesce(tokenize(text), F.array().cast("array<string>")), 1, max_length)
     words = df.select(key, F.posexplode_outer(tokens).alias("_at", "word"))
-    found = words.join(bounded_broadcast(vocab, MAX_BROADCAST_WORDS), "word", "left")
-    word_id = F.when(F.col("word").isNotNull(), F.coalesce("word_id", F.lit(UNKNOWN_ID)))
-    entry = F.when(F.col("word").isNotNull(), F.struct("_at", word_id.alias("id")))
+    found = words.join(bounded_broadcast(vocab), "word", "left")
+    # Position and id share one number: the lists that are shuffled, one per text,
+    # then hold eight bytes per word, and sorting them restores the order.
+    word_id = F.coalesce("word_id", F.lit(UNKNOWN_ID))
+    entry = F.shiftleft(F.col("_at").cast("long"), 32) + word_id
+    entry = F.when(F.col("word").isNotNull(), entry)
     grouped = found.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
-    ids = F.transform("_entries", lambda e: e["id"])
+    ids = F.transform("_entries", lambda e: (e % (1 << 32)).cast("int"))
     missing = F.lit(max_length) - F.size("_entries")
     return grouped.select(
         key,

@@ -14,11 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxtally.functions.keys import content_key, seeded_order
+from voxtally.operators.sides import bounded_broadcast
 
 # Hexadecimal digits of a digest that form a range: 65,536 ranges per group.
 RANGE_DIGITS = 4
-# Cut points are one row per group. Up to this many they are sent to every task.
-MAX_BROADCAST_CUTS = 10_000
 
 
 def top_n_per_group(
@@ -104,14 +103,6 @@ def _cuts(
     return ranked.filter(F.col("_rank") == F.col("_nth")).select(*by, F.col("_o").alias("_cut"))
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_CUTS) -> DataFrame:
-    """Broadcast a side after counting that it is small, else leave it to a shuffle."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
 def split_by_share(
     df: DataFrame,
     by: Sequence[str],

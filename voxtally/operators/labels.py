@@ -10,7 +10,7 @@ from pyspark.sql.types import StringType
 
 from voxtally.functions.labels import SENTIMENTS, is_null_like
 from voxtally.functions.text import is_blank, strip
-from voxtally.operators.groups import bounded_broadcast
+from voxtally.operators.sides import bounded_broadcast
 
 # Fixed values -----------------------------------------------------------------
 TEXT_COLUMNS = ("cleaned_text", "cleaned_test", "text")

@@ -20,6 +20,7 @@ from voxtally.functions.labels import (
 )
 from voxtally.operators.comments import predictions_with_text, unprocessed
 from voxtally.operators.requests import requests_to_finalize
+from voxtally.operators.sides import bounded_broadcast
 
 # Fixed values -----------------------------------------------------------------
 SOURCE_MODEL = "MODEL"
@@ -31,7 +32,7 @@ RECENT_SHOWN = 20
 
 def finalizable(predictions: DataFrame, raw: DataFrame, requests: DataFrame) -> DataFrame:
     """Predictions of the requests that are to be finalised, with their text."""
-    due = requests_to_finalize(requests, predictions).select("req_id")
+    due = bounded_broadcast(requests_to_finalize(requests, predictions).select("req_id"))
     return predictions_with_text(predictions.join(due, "req_id", "left_semi"), raw)
 
 
@@ -75,7 +76,7 @@ def pending_reviews(queue: DataFrame, raw: DataFrame, requests: DataFrame) -> Da
     return (
         pending_only(queue)
         .join(raw.select("comment_id", "video_id"), "comment_id", "left")
-        .join(requests.select("req_id", "user_id", "video_url"), "req_id", "left")
+        .join(bounded_broadcast(requests.select("req_id", "user_id", "video_url")), "req_id", "left")
         .drop("status")
     )
 

@@ -15,6 +15,7 @@ from voxtally.operators.comments import fetched_for_export
 from voxtally.operators.groups import latest_per_key
 from voxtally.operators.requests import transition
 from voxtally.operators.results import add_blank_label
+from voxtally.operators.sides import bounded_broadcast
 
 
 def upsert(
@@ -54,14 +55,15 @@ def replace_group(old: DataFrame, delta: DataFrame, requests: DataFrame) -> Data
     whichever request it was stored under. Addresses are looked up for key
     columns of affected videos only; texts take part in the last join alone.
     """
-    urls = requests.select("req_id", "video_url")
+    urls = bounded_broadcast(requests.select("req_id", "video_url"))
     scope = delta.select("video_id", "req_id").distinct().join(urls, "req_id")
-    scope = scope.select("video_id", "video_url").distinct()
+    scope = bounded_broadcast(scope.select("video_id", "video_url").distinct())
     affected = old.select("comment_id", "video_id", "req_id").join(
         scope.select("video_id").distinct(), "video_id", "left_semi"
     )
     doomed = affected.join(urls, "req_id").join(scope, ["video_id", "video_url"], "left_semi")
-    kept = old.join(doomed.select("comment_id"), "comment_id", "left_anti")
+    doomed = bounded_broadcast(doomed.select("comment_id"))
+    kept = old.join(doomed, "comment_id", "left_anti")
     return kept.unionByName(delta.select(*kept.columns))
 
 
@@ -69,7 +71,7 @@ def cascade_delete(
     children: DataFrame, deleted: DataFrame, column: str, parent_column: str, mode: str = "cascade"
 ) -> DataFrame:
     """Child rows after their parents are gone: removed, or with the key set to NULL."""
-    gone = deleted.select(F.col(parent_column).alias(column)).distinct()
+    gone = bounded_broadcast(deleted.select(F.col(parent_column).alias(column)).distinct())
     if mode == "cascade":
         return children.join(gone, column, "left_anti").select(*children.columns)
     if mode != "set_null":
