@@ -122,17 +122,20 @@ def decorate_status(c: Column | str) -> Column:
     return decorate_label(c, STATUS_SYMBOLS, STATUS_DEFAULT_SYMBOL, fold_case=False)
 
 
-def label_name(class_id: Column | str, id2label: Column | Mapping[int, str]) -> Column:
+def label_name(
+    class_id: Column | str, id2label: Column | Mapping[int, str] | None = None
+) -> Column:
     """Name of a class id; ids that have none become ``class_<id>``.
 
     ``id2label`` is a mapping or a column of type ``map<int,string>``, see
     :func:`parse_id2label`.
     """
     class_id = _col(class_id)
+    default = F.concat(F.lit("class_"), class_id.cast("string"))
+    if id2label is None or (isinstance(id2label, Mapping) and not id2label):
+        return default
     names = id2label if isinstance(id2label, Column) else literal_map(id2label)
-    return F.coalesce(
-        F.try_element_at(names, class_id), F.concat(F.lit("class_"), class_id.cast("string"))
-    )
+    return F.coalesce(F.try_element_at(names, class_id), default)
 
 
 def parse_id2label(json: Column | str) -> Column:

@@ -29,10 +29,21 @@ def linear_logits(
 
 
 def softmax(logits: Column) -> Column:
-    """Probabilities of an array of logits; the largest logit is taken off first."""
-    powers = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    total = F.aggregate(powers, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(powers, lambda p: p / total)
+    """Probabilities of an array of logits; the largest logit is taken off first.
+
+    Largest value and total are paired with the elements instead of being named
+    inside the lambdas, where they would be computed anew for every element.
+    """
+
+    def paired(values: Column, one: Column, fn) -> Column:
+        return F.zip_with(values, F.array_repeat(one, F.size(values)), fn)
+
+    def shares(powers: Column) -> Column:
+        total = F.aggregate(powers, F.lit(0.0), lambda acc, x: acc + x)
+        return paired(powers, total, lambda p, t: p / t)
+
+    powers = paired(logits, F.array_max(logits), lambda x, m: F.exp(x - m))
+    return F.transform(F.array(powers), shares)[0]
 
 
 def argmax(values: Column) -> Column:

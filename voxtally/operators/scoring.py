@@ -34,11 +34,12 @@ def score_linear(
     features = F.col(features) if isinstance(features, str) else features
     scored = df.withColumn("_logits", linear_logits(features, weights, bias))
     scored = scored.withColumn("probabilities", softmax(F.col("_logits")))
+    scored = scored.withColumn("class_id", argmax(F.col("probabilities")))
     return scored.select(
         *df.columns,
         "probabilities",
-        argmax(F.col("probabilities")).alias("class_id"),
-        label_name(argmax(F.col("probabilities")), id2label or {-1: ""}).alias("label"),
+        "class_id",
+        label_name("class_id", id2label).alias("label"),
         F.array_max("probabilities").alias("confidence"),
     )
 
@@ -78,7 +79,7 @@ def score_batches(
         *df.columns,
         F.col("_s.probabilities").alias("probabilities"),
         F.col("_s.class_id").alias("class_id"),
-        label_name(F.col("_s.class_id"), id2label or {-1: ""}).alias("label"),
+        label_name(F.col("_s.class_id"), id2label).alias("label"),
         F.col("_s.confidence").alias("confidence"),
     )
 
