@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import functions as F
 
 from voxtally.functions.labels import confidence_fallback, is_low_confidence
@@ -14,6 +17,9 @@ from voxtally.operators.training import train_classifier
 from voxtally.plans.bindings import sql_tokens
 from voxtally.plans.registry import query
 
+# The stand-in model travels with the query: executors need not have this package.
+register_pickle_by_value(sys.modules[__name__])
+
 SENTIMENT_OF_CLASS = {0: "positive", 1: "negative", 2: "neutral"}
 
 
