@@ -35,6 +35,20 @@ def test_plan(spark, name):
     assert ("ArrowEvalPython" in plan) == (name in PYTHON_ALLOWED)
 
 
+@pytest.mark.parametrize("name", ["request_sentiment_report", "prediction_backlog"])
+def test_patterns_are_matched_once(spark, name):
+    plan = queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    # The link pattern is the first of the cleaning chain.
+    assert plan.count("http[^") == 1
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    plan = queries()["stratified_split"](spark, FOLDER)._jdf.queryExecution().toString()
+    assert "text:string" not in plan.split("Physical Plan")[1]
+    plan = queries()["oldest_pending"](spark, FOLDER)._jdf.queryExecution().toString()
+    assert "TakeOrderedAndProject" in plan
+
+
 def test_training_keeps_the_best_candidate(spark):
     rows = queries()["train_classifier"](spark, FOLDER).collect()
     best = [r for r in rows if r.is_best]

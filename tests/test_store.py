@@ -262,13 +262,15 @@ def test_stamped_path():
 def test_catalog(spark):
     db = f"store_{uuid.uuid4().hex[:8]}"
     plan = catalog.create_tables(spark, db, dry_run=True)
-    assert len(plan) == 1 + 8 + 2 and not spark.catalog.databaseExists(db)
+    assert len(plan) == 1 + 8 and not spark.catalog.databaseExists(db)
     try:
         catalog.create_tables(spark, db)
         catalog.create_tables(spark, db)
         assert catalog.missing_tables(spark, db) == []
         assert spark.table(f"{db}.review_queue").columns == TABLES["review_queue"].schema.names
-        assert spark.table(f"{db}.v_pending_reviews").count() == 0
+        catalog.register_views(spark, db)
+        assert spark.table("v_pending_reviews").count() == 0
+        assert spark.table("v_training_data_export").columns[:2] == ["comment_text", "label"]
         spark.sql(f"DROP TABLE {db}.predictions")
         assert catalog.missing_tables(spark, db) == ["predictions"]
         catalog.create_tables(spark, db, force=True)

@@ -1,4 +1,4 @@
-"""Creating the tables and views of the comment store, counting and checking them."""
+"""Creating the tables of the comment store and its views, counting and checking them."""
 
 from __future__ import annotations
 
@@ -8,27 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxtally.operators.results import pending_reviews, training_export
 from voxtally.schemas import TABLES, Table
 
-# Fixed values -----------------------------------------------------------------
-VIEWS = {
-    "v_pending_reviews": """
-        SELECT q.id, q.comment_id, q.req_id, q.text, q.model_prediction, q.confidence,
-               c.video_id, r.user_id, r.video_url, q.created_at
-        FROM {db}.review_queue q
-        LEFT JOIN {db}.raw_comments c ON q.comment_id = c.comment_id
-        LEFT JOIN {db}.requests r ON q.req_id = r.req_id
-        WHERE q.status = 'PENDING'
-        ORDER BY q.created_at""",
-    "v_training_data_export": """
-        SELECT comment_text, label, source, confidence, created_at
-        FROM {db}.training_dataset
-        WHERE label IS NOT NULL
-        ORDER BY created_at DESC""",
-}
-# ------------------------------------------------------------------------------
-
-
 def create_table_statement(table: Table, database: str) -> str:
     columns = ", ".join(
         f"{f.name} {f.dataType.simpleString()}" + ("" if f.nullable else " NOT NULL")
@@ -41,25 +23,31 @@ def create_table_statement(table: Table, database: str) -> str:
 def create_tables(
     spark: SparkSession, database: str, force: bool = False, dry_run: bool = False
 ) -> list[str]:
-    """Create database, tables and views that are missing; ``force`` drops them first.
+    """Create the database and the tables that are missing; ``force`` drops them first.
 
     Returns the statements. With ``dry_run`` they are only returned.
     """
     statements = [f"CREATE DATABASE IF NOT EXISTS {database}"]
     if force:
-        statements += [f"DROP VIEW IF EXISTS {database}.{v}" for v in VIEWS]
         statements += [f"DROP TABLE IF EXISTS {database}.{t}" for t in reversed(TABLES)]
     statements += [create_table_statement(t, database) for t in TABLES.values()]
-    statements += [
-        f"CREATE OR REPLACE VIEW {database}.{name} AS{body.format(db=database)}"
-        for name, body in VIEWS.items()
-    ]
     if not dry_run:
         for statement in statements:
             spark.sql(statement)
     return statements
 
 
+def register_views(spark: SparkSession, database: str) -> None:
+    """Open reviews and labelled training rows as views of the session."""
+
+    def table(name: str) -> DataFrame:
+        return spark.table(f"{database}.{name}")
+
+    reviews = pending_reviews(table("review_queue"), table("raw_comments"), table("requests"))
+    reviews.createOrReplaceTempView("v_pending_reviews")
+    training_export(table("training_dataset")).createOrReplaceTempView("v_training_data_export")
+
+
 def missing_tables(spark: SparkSession, database: str) -> list[str]:
     """Tables of the comment store that the database does not have."""
     existing = {t.name for t in spark.catalog.listTables(database)}
