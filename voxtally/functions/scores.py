@@ -12,20 +12,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def dot(features: Column, weights: Sequence[float], bias: float = 0.0) -> Column:
-    """Weighted sum of an array column, added up in element order."""
-    products = F.zip_with(
-        features, F.lit([float(w) for w in weights]), lambda x, w: x.cast("double") * w
-    )
-    return F.aggregate(products, F.lit(float(bias)), lambda acc, x: acc + x)
+def constant_array(values: Sequence[float]) -> str:
+    """An array of doubles as SQL text: one expression, however many numbers."""
+    return f"array({', '.join(f'{float(v)!r}D' for v in values)})"
 
 
 def linear_logits(
     features: Column, weights: Sequence[Sequence[float]], bias: Sequence[float] | None = None
 ) -> Column:
-    """One logit per class, as an array in class order."""
-    bias = bias or [0.0] * len(weights)
-    return F.array(*[dot(features, w, b) for w, b in zip(weights, bias)])
+    """One logit per class, as an array in class order; added up in element order."""
+    matrix = F.expr(f"array({', '.join(constant_array(w) for w in weights)})")
+    start = F.expr(constant_array(bias or [0.0] * len(weights)))
+
+    def logit(w: Column, b: Column) -> Column:
+        products = F.zip_with(features, w, lambda x, y: x.cast("double") * y)
+        return F.aggregate(products, b, lambda acc, x: acc + x)
+
+    return F.zip_with(matrix, start, logit)
 
 
 def softmax(logits: Column) -> Column:
