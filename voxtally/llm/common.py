@@ -175,11 +175,13 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
         # Large star: each larger neighbour points to the smallest of the neighbourhood.
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # Written, so that both sides of the join are plain shuffles, which can be split.
+        least = written(least, purpose)
         large = both.filter(F.col("b") > F.col("a")).join(least, "a")
         large = large.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Small star: each smaller neighbour and the node itself do so.
         large = written(large, purpose)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), purpose)
         small = large.join(least, "a").select(
             F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"),
             F.col("m").alias("b"),

@@ -7,8 +7,8 @@ a single text is done, and so is a group whose texts have ended. Two texts are
 equal when no digit ever separated them; no digest decides anything.
 
 Each step counts by (group, digit), which Spark combines on the map side, and
-joins the counts back; adaptive execution may split that join, since nothing above
-it needs a group together. Only texts that still share everything so far take part
+joins the written counts back; adaptive execution may split that join, since nothing
+above it needs a group together. Only texts that still share everything so far take part
 in the next step, with what is left of them.
 """
 
@@ -85,10 +85,13 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     read = written(
         source.mapInArrow(heads, "doc_id long, bytes long, head binary, text_sha256 string"), "exact-heads"
     )
+    # Counts are written before they are joined: only then can the join of a hot group be split.
     groups = read.groupBy("bytes", "head").agg(F.max("doc_id").alias("g"), F.count("*").alias("n"))
-    first = written(
-        read.join(groups, ["bytes", "head"]).select("doc_id", "g", "n", "bytes", "text_sha256"), "exact-first"
+    groups = written(groups.filter("n > 1"), "exact-groups")
+    first = read.join(groups, ["bytes", "head"], "left").select(
+        "doc_id", F.coalesce("g", "doc_id").alias("g"), F.coalesce("n", F.lit(1)).alias("n"), "bytes", "text_sha256"
     )
+    first = written(first, "exact-first")
     ended = (F.col("n") == 1) | (F.col("bytes") <= HEAD_BYTES)
     done = [first.filter(ended).select("doc_id", "g", "n")]
 
@@ -104,6 +107,7 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -
         state = written(_next_digit(state, HEAD_BYTES, width), "exact-digit")
         while at < longest:
             parts = state.groupBy("g", "digit").agg(F.max("doc_id").alias("h"), F.count("*").alias("n"))
+            parts = written(parts, "exact-counts")
             split = state.select("doc_id", "g", "digit", "rest").join(parts, ["g", "digit"]).select(
                 "doc_id", F.col("h").alias("g"), "n", "rest"
             )

@@ -129,23 +129,28 @@ def _window_hashes(length: int):
             data, _, first, last, upto = _words(block.column("text"))
             codes = _codes(data, first, last)
             asked = block.column("asked")
-            out: dict[str, list] = {"w1": [], "w2": [], "h1": [], "h2": [], "shift": [], "doc_id": []}
-            for d, segments in enumerate(asked.to_pylist()):
-                doc = block.column("doc_id")[d].as_py()
-                begin = np.array([s["first"] for s in segments], np.int64) + upto[d]
-                windows = np.array([s["windows"] for s in segments], np.int64)
-                seg = np.repeat(np.arange(len(segments)), windows)
-                shift = np.arange(len(seg)) - np.repeat(np.cumsum(windows) - windows, windows)
-                at = begin[seg] + shift
-                for name, c, b in zip(("w1", "w2"), codes, BASES):
-                    out[name].append(span_hashes(c, at, at + length, b).view(np.int64))
-                for name in ("h1", "h2"):
-                    out[name].append(np.array([s[name] for s in segments], np.int64)[seg])
-                out["shift"].append(shift.astype(np.int32))
-                out["doc_id"].append(np.full(len(seg), doc, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(v)) for v in out.values()], list(out)
-            )
+            counts = np.asarray(asked.value_lengths()).astype(np.int64)
+            of = np.repeat(np.arange(len(counts)), counts)
+            begin, windows, h1, h2 = (np.asarray(asked.flatten().field(k)) for k in range(4))
+            ids = np.asarray(block.column("doc_id"))
+            # Some thousand segments at a time, which bounds what is held for one block.
+            for k in range(0, len(of), 16_384):
+                part = slice(k, k + 16_384)
+                m = windows[part].astype(np.int64)
+                seg = np.repeat(np.arange(len(m)), m)
+                shift = np.arange(len(seg)) - np.repeat(np.cumsum(m) - m, m)
+                at = (begin[part] + upto[of[part]])[seg] + shift
+                hashes = [span_hashes(c, at, at + length, b).view(np.int64) for c, b in zip(codes, BASES)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(pa.array(h) for h in hashes),
+                        pa.array(h1[part][seg]),
+                        pa.array(h2[part][seg]),
+                        pa.array(shift.astype(np.int32)),
+                        pa.array(ids[of[part]][seg]),
+                    ],
+                    ["w1", "w2", "h1", "h2", "shift", "doc_id"],
+                )
 
     return expand
 
@@ -235,11 +240,14 @@ def repeated_ranges(
     )
     windows = written(windows, "substring-windows")
     earliest = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("d0"), F.count("*").alias("n")).filter("n > 1")
+    # Tables that hot keys are joined to are written, so that these joins can be split.
+    earliest = written(earliest, "substring-earliest")
     partial = windows.join(earliest, ["w1", "w2"]).filter("d0 < doc_id")
     partial = partial.groupBy("h1", "h2").agg(F.collect_set("shift").alias("shifts"))
     # Copies of a segment in later documents are covered whole, the first one where windows matched.
     classes = distinct.select("h1", "h2", F.col("home.doc_id").alias("home"), "n").join(partial, ["h1", "h2"], "left")
     classes = classes.filter(F.col("shifts").isNotNull() | (F.col("n") > 1)).drop("n")
+    classes = written(classes, "substring-classes")
     hit = segments.select("h1", "h2", "windows", "doc_id", "first").join(classes, ["h1", "h2"])
     own = F.col("doc_id") == F.col("home")
     one = F.transform("shifts", lambda k: F.struct((F.col("first") + k).alias("first"), F.lit(1).alias("windows")))

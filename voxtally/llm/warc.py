@@ -172,7 +172,9 @@ def write_archive(
     ).filter(F.col("n") >= least_bytes)
     prints = written(prints, "warc-prints")
     firsts = prints.groupBy("a", "b", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("m"))
-    again = prints.join(firsts.filter("m > 1"), ["a", "b", "n"]).filter("page_id <> first")
+    # Written, so that the join of a frequent payload can be split.
+    firsts = written(firsts.filter("m > 1"), "warc-firsts")
+    again = prints.join(firsts, ["a", "b", "n"]).filter("page_id <> first")
     again = written(again.select("page_id", "first"), "warc-revisits")
     if again.count() <= MAX_BROADCAST_IDS:
         again = F.broadcast(again)
