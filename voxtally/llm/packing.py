@@ -28,36 +28,69 @@ GROUP_PIECES = 60_000
 MAX_WORDS = 400_000
 END_ID = 0
 
-_TOKENIZERS: dict = {}
+_WORDS: dict = {}
 
 
-def _tokenizer(path: str):
-    """The tokenizer of a file and the words seen with it, once per Python worker."""
-    if path not in _TOKENIZERS:
+class Words(dict):
+    """Ids of the words of a text (as little-endian 32-bit numbers), encoded when first asked for.
+
+    The vocabulary drops white space and never joins what it separates, and lower-cases
+    letter by letter, so a word of letters with one comma or full stop after it is the
+    letters and the mark. Letters go to the merges directly; all other words go through the
+    whole tokenizer.
+    """
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {"": b""})
-    return _TOKENIZERS[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
+        self.pieces: dict[str, bytes] = {}
+        self.letters: dict[str, str | None] = {}
+        self.number = [np.uint32(i).tobytes() for i in range(self.tokenizer.get_vocab_size())]
+        self[""] = b""
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > MAX_WORDS:
+            self.clear()
+            self[""] = b""
+        if len(self.pieces) > MAX_WORDS:
+            self.pieces.clear()
+        stem, mark = (word[:-1], word[-1]) if word[-1] in ".," else (word, "")
+        # Below U+0300 no two letters compose to a third.
+        if stem.isalpha() and max(stem) < "\u0300":
+            known = self.letters
+            spelled = [known[c] if c in known else self._letter(c) for c in stem]
+            if None not in spelled:
+                ids = self._piece("".join(spelled))
+                self[word] = ids = ids + self._piece(mark) if mark else ids
+                return ids
+        [encoded] = self.tokenizer.encode_batch_fast([word], add_special_tokens=False)
+        self[word] = ids = b"".join([self.number[i] for i in encoded.ids])
+        return ids
+
+    def _letter(self, letter: str) -> str | None:
+        """How the tokenizer spells a letter, None unless that is one lower-cased letter."""
+        lower = self.tokenizer.normalizer.normalize_str(letter)
+        spelled = None
+        if len(lower) == 1 and lower.isalpha():
+            spelled = "".join(part for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(lower))
+        self.letters[letter] = spelled
+        return spelled
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            ids = self.pieces[piece] = b"".join([self.number[t.id] for t in self.merge(piece)])
+        return ids
 
 
 def encoded(texts: list[str], path: str) -> list[bytes]:
-    """Token ids of each text as little-endian 32-bit numbers.
-
-    The vocabulary drops white space and never joins what a space separates, so the
-    ids of a text are those of its words in a row; every distinct word is encoded once.
-    """
-    tokenizer, known = _tokenizer(path)
-    if len(known) > MAX_WORDS:
-        known.clear()
-        known[""] = b""
-    split = [t.split(" ") for t in texts]
-    new = list({w for words in split for w in words}.difference(known))
-    for i in range(0, len(new), 20_000):
-        part = new[i : i + 20_000]
-        for word, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-            known[word] = np.asarray(e.ids, "<u4").tobytes()
-    look = known.__getitem__
-    return [b"".join(map(look, words)) for words in split]
+    """Token ids of each text as little-endian 32-bit numbers, words remembered per worker."""
+    if path not in _WORDS:
+        _WORDS[path] = Words(path)
+    look = _WORDS[path].__getitem__
+    return [b"".join(map(look, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 def _pieces(key: str, text: str, path: str, size: int, block_bytes: int = 4 << 20):
