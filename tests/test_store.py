@@ -337,7 +337,7 @@ def test_stream_drops_what_it_has_seen(spark, tmp_path):
     for _ in range(2):
         df.write.mode("append").parquet(source)
         stream = I.read_stream(spark, source, df.schema)
-        I.run_incremental(stream, lambda s: I.deduplicated(s, ["id"], "ts", "1 hour"), sink, progress)
+        I.run_incremental(stream, lambda s: I.deduplicated_dropping_late(s, ["id"], "ts", "1 hour"), sink, progress)
     assert sorted(r.id for r in spark.read.parquet(sink).collect()) == list(range(5))
 
 

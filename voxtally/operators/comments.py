@@ -26,11 +26,11 @@ def flatten_comment_pages(
     json: str = "body",
     video: str = "video_id",
     page: str = "page",
-    max_per_video: int = MAX_COMMENTS_PER_VIDEO,
+    max_per_video: int | None = None,
 ) -> DataFrame:
-    """Response pages to one row per comment, at most ``max_per_video`` per video.
+    """Response pages to one row per comment, all of them unless ``max_per_video`` is given.
 
-    The first comments in page order are kept, as when paging stops at the limit.
+    With it the first comments in page order are kept, as when paging stops at the limit.
     """
     parsed = pages.select(video, page, F.from_json(json, COMMENT_PAGE_DDL).alias("_body"))
     items = parsed.select(video, page, F.posexplode("_body.items").alias("position", "_item"))
@@ -42,6 +42,8 @@ def flatten_comment_pages(
         top["id"].alias("comment_id"),
         top["snippet"]["textDisplay"].alias("text_display"),
     )
+    if max_per_video is None:
+        return flat
     order = [F.col(page), F.col("position")]
     return top_n_per_group(flat, [video], order, max_per_video, spread=F.struct(page, "position"))
 
@@ -121,9 +123,12 @@ def preprocessing_backlog(
 def prediction_backlog(
     preprocessed: DataFrame, raw: DataFrame, predictions: DataFrame
 ) -> DataFrame:
-    """Preprocessed comments that still exist and have no prediction."""
-    existing = preprocessed.join(raw.select("comment_id"), "comment_id", "left_semi")
-    return unprocessed(existing, predictions)
+    """Preprocessed comments that still exist and have no prediction.
+
+    Keys decide first; the texts take part in one join.
+    """
+    open_keys = unprocessed(raw.select("comment_id"), predictions)
+    return preprocessed.join(open_keys, "comment_id", "left_semi")
 
 
 def predictions_with_text(predictions: DataFrame, raw: DataFrame) -> DataFrame:

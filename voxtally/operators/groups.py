@@ -58,7 +58,7 @@ def latest_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> D
 
 def first_of_group(df: DataFrame, subset: Sequence[str], key: str) -> DataFrame:
     """Smallest ``key`` among the rows that agree on ``subset``, one row per group."""
-    return df.groupBy(content_key(*subset).alias("_content")).agg(F.min(key).alias(key)).select(key)
+    return df.groupBy(content_key(*subset, schema=df.schema).alias("_content")).agg(F.min(key).alias(key)).select(key)
 
 
 def flag_repeats(

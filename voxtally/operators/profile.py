@@ -67,7 +67,7 @@ def duplicate_stats(df: DataFrame, subset: Sequence[str] | None = None) -> DataF
 
     ``subset`` names the columns that make two rows the same, all by default.
     """
-    key = content_key(*(subset or df.columns))
+    key = content_key(*(subset or df.columns), schema=df.schema)
     counted = df.agg(F.count("*").alias("rows"), F.countDistinct(key).alias("_distinct"))
     repeats = F.col("rows") - F.col("_distinct")
     return counted.select(

@@ -87,7 +87,7 @@ def review_order(df: DataFrame, *tie_breakers: str) -> DataFrame:
 
 
 def review_export(
-    queue: DataFrame, preprocessed: DataFrame, limit: int | None = EXPORT_LIMIT
+    queue: DataFrame, preprocessed: DataFrame, limit: int | None = None
 ) -> DataFrame:
     """The least certain open reviews with the cleaned text and a column to label in.
 
@@ -122,7 +122,7 @@ def low_confidence_export(
     preprocessed: DataFrame,
     confidences: Sequence[str] = ("model_confidence",),
     threshold: float = EXPORT_BELOW,
-    limit: int | None = EXPORT_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
     """Predictions below the threshold in any confidence column, with cleaned text."""
     cleaned = preprocessed.select("comment_id", F.col("text_unicode").alias("cleaned_text"))

@@ -5,24 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows of a few key columns each: some megabytes per executor.
+# Rows of a few key columns each, and the bytes of their values: some megabytes per executor.
 MAX_BROADCAST_ROWS = 100_000
+MAX_BROADCAST_BYTES = 16 << 20
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """A side to broadcast if it has at most ``max_rows`` rows, else the side unchanged.
+    """A side to broadcast if it has few rows and bytes, else the side unchanged.
 
     The optimizer cannot know how few rows a filter or an aggregation leaves. It
     would shuffle the other side, which here is a table of comments with their
-    texts, before the count is known at run time. So the rows are fetched, up to
-    one more than the limit. If that one comes, the join is left to a shuffle, and
-    adaptive execution splits the keys that are frequent.
+    texts, before the count is known at run time. So the rows and the bytes of their
+    values are summed up, one row per map task. Within both bounds the side gets a
+    hint and is broadcast when the join runs; beyond them the join is left to a
+    shuffle, and adaptive execution splits the keys that are frequent.
 
     Only for sides of a few key columns, and for rows that are the same whenever
     they are computed.
     """
     limit = MAX_BROADCAST_ROWS if max_rows is None else max_rows
-    rows = df.limit(limit + 1).toArrow()
-    if rows.num_rows > limit:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(0))
+    rows, total = df.agg(F.count("*"), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if rows <= limit and total <= MAX_BROADCAST_BYTES else df

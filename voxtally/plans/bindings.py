@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from voxtally.functions.charsets import KEPT_PUNCTUATION, NWS, WORD, WS, WS_MEMBERS
 from voxtally.operators.comments import accepted, preprocess
 from voxtally.operators.results import PENDING, finalizable
-from voxtally.sources.files import read_table, spread
+from voxtally.sources.files import read_table
 
 # Fixed values -----------------------------------------------------------------
 ACCENTS = r"\x{C0}-\x{FF}"
@@ -229,6 +229,12 @@ def _by_length(n_chars: Column) -> Column:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Distribute a given table that is one row group, and so one task, over the cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Tables:
     """Given and derived tables of one data folder."""
 

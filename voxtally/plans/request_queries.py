@@ -376,7 +376,7 @@ def pending_reviews(t):
     ["review_queue", "preprocessed_comments"],
 )
 def review_export(t):
-    return S.review_export(t.review_queue, t.preprocessed_comments)
+    return S.review_export(t.review_queue, t.preprocessed_comments, limit=S.EXPORT_LIMIT)
 
 
 @query(
@@ -398,7 +398,7 @@ def review_queue_file(t):
     ["predictions", "preprocessed_comments"],
 )
 def low_confidence_export(t):
-    return S.low_confidence_export(t.predictions, t.preprocessed_comments)
+    return S.low_confidence_export(t.predictions, t.preprocessed_comments, limit=S.EXPORT_LIMIT)
 
 
 @query(

@@ -18,18 +18,6 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Distribute a table that comes in fewer splits than there are cores.
-
-    A small file is read by one task, and so would be matched against patterns by
-    one task. Tables with splits for every core are left as they are: their rows
-    are never shuffled for this. Meant for tables as they are read: asking a
-    shuffled one for its partitions would run it.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_labeled_csv(
     spark: SparkSession,
     path: str,
@@ -53,8 +41,13 @@ def write_csv(
     mode: str = "errorifexists",
     max_records_per_file: int = MAX_RECORDS_PER_FILE,
 ) -> None:
-    """A folder of CSV files, each with the header."""
+    """A folder of CSV files, each with the header.
+
+    Blanks, tabs and line ends around a value are written as they are. An empty text
+    and NULL are the same empty cell, and are read back as NULL.
+    """
     writer = df.write.mode(mode).option("header", True).option("escape", '"')
+    writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     writer.option("maxRecordsPerFile", max_records_per_file).csv(path)
 
 

@@ -41,8 +41,14 @@ def run_incremental(
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
-def deduplicated(stream: DataFrame, key: Sequence[str], time: str, delay: str) -> DataFrame:
-    """Drop rows whose key was seen within ``delay``; only that much state is kept."""
+def deduplicated_dropping_late(
+    stream: DataFrame, key: Sequence[str], time: str, delay: str
+) -> DataFrame:
+    """Drop rows whose key was seen within ``delay``; only that much state is kept.
+
+    Rows older than the newest time less ``delay`` are lost, whether seen before or
+    not. Where every row counts, append all and use :func:`read_first`.
+    """
     timed = stream.withColumn("_time", F.col(time).cast("timestamp")).withWatermark("_time", delay)
     return timed.dropDuplicatesWithinWatermark(list(key)).drop("_time")
 
@@ -70,6 +76,24 @@ def read_label_counts(spark: SparkSession, by: Sequence[str], sink: str) -> Data
     return latest_per_key(spark.read.parquet(sink), list(by), [BATCH]).drop(BATCH)
 
 
+def read_first(spark: SparkSession, sink: str, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """An appended table without repeats: the first row of every key, however late it came.
+
+    Rows that agree on ``order`` as well should be equal, else any of them may stay.
+    """
+    rows = spark.read.parquet(sink)
+    rest = [c for c in rows.columns if c not in key]
+    if not rest:
+        return rows.distinct()
+    kept = F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
+    return rows.groupBy(*key).agg(kept).select(*key, "_row.*").select(*rows.columns)
+
+
+def compact(spark: SparkSession, sink: str, into: str, key: Sequence[str], order: Sequence[str]) -> None:
+    """Write the last row of every key of an appended table to a new folder, from which to go on."""
+    read_latest(spark, sink, key, order).write.parquet(into)
+
+
 def read_latest(spark: SparkSession, sink: str, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """An appended table seen as an upserted one: the last row of every key."""
     return latest_per_key(spark.read.parquet(sink), key, order)
