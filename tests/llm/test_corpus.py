@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from voxtally.llm import simhash as simhash_module
 from voxtally.llm.bpe import bpe_decode, bpe_encode
+from voxtally.llm.common import components
 from voxtally.llm.exact import exact_duplicates
 from voxtally.llm.packing import best_fit, pack_documents
 from voxtally.llm.sharding import schedule, shard_by_bytes
@@ -359,3 +360,39 @@ def test_empty_tables(spark):
         bpe_encode(empty, path, pattern),
     ):
         assert df.filter(F.lit(True)).count() == 0
+
+
+# Components -------------------------------------------------------------------
+def reachable(edges):
+    """Smallest node reachable from each node that has an edge to another one."""
+    near = defaultdict(set)
+    for a, b in edges:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    out = {}
+    for start in near:
+        seen, todo = {start}, [start]
+        while todo:
+            for n in near[todo.pop()] - seen:
+                seen.add(n)
+                todo.append(n)
+        out[start] = min(seen)
+    return out
+
+
+@pytest.mark.parametrize(
+    "edges",
+    [
+        [],
+        [(3, 3)],
+        [(1, 2), (2, 1), (1, 2), (4, 4)],
+        [(i, i + 1) for i in range(70)],
+        [(0, i) for i in range(1, 40)] + [(99, i) for i in range(20, 60)],
+        [((i * 37) % 90, (i * 53 + 11) % 90) for i in range(70)],
+    ],
+    ids=["empty", "loop", "repeats", "chain", "two hubs", "mixed"],
+)
+def test_components(spark, edges):
+    found = components(spark.createDataFrame(edges, "a long, b long"))
+    assert sorted(map(tuple, found.collect())) == sorted(reachable(edges).items())

@@ -163,15 +163,15 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
     Rounds of large-star and small-star steps: every node tells its neighbours the
     smallest neighbour it knows. Minima are combined on the map side and the join
     back on the node can be split by adaptive execution, so a node with very many
-    neighbours does not gather them in a task. Every round is a written table. Nodes
-    without an edge are not in the result.
+    neighbours does not gather them in a task. Every round is a written table, and the
+    rounds end when all components are stars. Nodes without an edge are not in the
+    result.
     """
     pairs = edges.filter(F.col("a") != F.col("b")).select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     )
     pairs = written(pairs.distinct(), purpose)
-    seen = None
-    while True:
+    while not _all_stars(pairs):
         # Large star: each larger neighbour points to the smallest of the neighbourhood.
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -187,10 +187,18 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
             F.col("m").alias("b"),
         )
         pairs = written(small.filter("a <> b").distinct(), purpose)
-        # Done when every node points to a node that points nowhere: all are stars, unchanged.
-        now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == seen or not now[0]:
-            break
-        seen = now
     roots = pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+
+
+def _all_stars(pairs: DataFrame) -> bool:
+    """Whether every larger node has one smaller neighbour, and that one has none.
+
+    Steps never take a component apart and ``a > b`` holds in each pair, so the
+    smaller node then is the root of all it is paired with.
+    """
+    ends = pairs.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        pairs.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    sums = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return sums.filter("up > 1 or (up = 1 and down = 1)").count() == 0
