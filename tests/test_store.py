@@ -36,6 +36,92 @@ def test_upsert(spark):
     assert rows(M.upsert(new, delta, ["k"], ["text", "t"], ["t"])) == rows(new)
 
 
+def test_upsert_beyond_the_bound_gives_the_same_rows(spark, monkeypatch):
+    ddl = "k int, l string, text string, t int, kept string"
+    old = spark.createDataFrame([(1, "a", "a", 0, "p"), (2, "a", None, 0, None), (None, "a", "n", 0, "q")], ddl)
+    delta = [(2, "a", "y", 2), (2, "a", "x", 1), (2, "b", None, 1), (None, "a", "m", 3)]
+    delta = spark.createDataFrame(delta, "k int, l string, text string, t int")
+    made = []
+    for bound in (100, 0):
+        monkeypatch.setattr("voxtally.operators.sides.MAX_BROADCAST_ROWS", bound)
+        new = M.upsert(old, delta, ["k", "l"], ["text"], ["t"])
+        plan = new._jdf.queryExecution().executedPlan().toString()
+        assert ("SortMergeJoin" in plan) == (bound == 0)
+        made.append(rows(new))
+    assert made[0] == made[1] == {
+        (1, "a", "a", 0, "p"),
+        (2, "a", "y", 0, None),
+        (2, "b", None, 1, None),
+        (None, "a", "n", 0, "q"),
+        (None, "a", "m", 3, None),
+    }
+
+
+def test_rows_fit_the_tables(spark):
+    at = F.lit("2024-06-01 12:00:00")
+    found = spark.createDataFrame(
+        [("a", 1, "neutral", 0.4, "t"), ("b", 1, None, None, None)],
+        "comment_id string, req_id int, model_prediction string, model_confidence double, text_display string",
+    )
+    asked = spark.createDataFrame([(7, "u", "NEW", None)], "user_id long, video_url string, status string, created_at timestamp_ntz")
+    texts = C.preprocess(spark.createDataFrame([("a", 1, "x")], "comment_id string, req_id int, text_display string"))
+    for name, df, key in (
+        ("final_results", S.finalize(found), ["comment_id"]),
+        ("review_queue", S.enqueue_review(found), ["comment_id"]),
+        ("requests", asked, ["user_id", "video_url"]),
+        ("preprocessed_comments", texts.withColumn("processed_by", F.lit(C.PROCESSED_BY)), ["comment_id"]),
+    ):
+        out = M.as_rows_of(TABLES[name], df, key, after=10, at=at)
+        assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in TABLES[name].schema]
+        if TABLES[name].primary_key not in df.columns:
+            ids = [r[0] for r in out.select(TABLES[name].primary_key).collect()]
+            assert sorted(ids) == list(range(11, 11 + df.count()))
+        assert M.as_rows_of(TABLES[name], df.limit(0), key, after=10, at=at).count() == 0
+    made = M.as_rows_of(TABLES["final_results"], S.finalize(found), ["comment_id"], at=at)
+    assert {r.created_at for r in made.collect()} == {datetime(2024, 6, 1, 12)}
+
+
+def test_cascade_over_the_graph(spark):
+    store = {
+        "requests": spark.createDataFrame([(1,), (2,)], "req_id int"),
+        "raw_comments": spark.createDataFrame([("a", 1), ("b", 2), ("c", None)], "comment_id string, req_id int"),
+        "predictions": spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, comment_id string"),
+        "review_queue": spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, comment_id string"),
+    }
+    gone = spark.createDataFrame([(1,), (1,)], "req_id int")
+    after = {name: rows(df) for name, df in M.cascade(store, "requests", gone).items()}
+    assert after == {
+        "requests": {(2,)},
+        "raw_comments": {("b", 2), ("c", None)},
+        "predictions": {(2, "b"), (3, None)},
+        "review_queue": {(1, None), (2, "b"), (3, "c")},
+    }
+    same = M.cascade(store, "requests", gone.limit(0))
+    assert {n: rows(df) for n, df in same.items()} == {n: rows(df) for n, df in store.items()}
+
+
+def test_stage_steps(spark):
+    url = "https://www.youtube.com/watch?v=abcdefghijk"
+    requests = spark.createDataFrame(
+        [(1, url, "LOCKED"), (2, url, "LOCKED"), (3, "nowhere", "LOCKED"), (4, "nowhere", "NEW"),
+         (5, url, "FETCHED"), (6, url, "FETCHED"), (7, url, "PREDICTED_MODEL"), (8, url, "PREDICTED_MODEL")],
+        "req_id int, video_url string, status string",
+    ).withColumn("user_id", F.lit(1).cast("long"))
+    raw = spark.createDataFrame([(1,), (3,), (4,), (None,)], "req_id int")
+
+    def states(df):
+        return {r.req_id: r.status for r in df.collect()}
+
+    before = states(requests)
+    assert states(R.fail_unusable(requests, raw)) == before | {2: "FAILED", 3: "FAILED"}
+    predictions = spark.createDataFrame(
+        [(5, "x"), (6, "x"), (7, "x"), (8, None)], "req_id int, model_prediction string"
+    )
+    backlog = spark.createDataFrame([(6,)], "req_id int")
+    assert states(R.mark_predicted(requests, backlog, predictions)) == before | {5: "PREDICTED_MODEL"}
+    assert states(R.mark_finalized(requests, predictions)) == before | {7: "FINALIZED"}
+
+
 def test_replace_group(spark):
     requests = spark.createDataFrame([(1, "u"), (2, "u"), (3, "w")], "req_id int, video_url string")
     ddl = "comment_id string, video_id string, req_id int"

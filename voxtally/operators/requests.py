@@ -112,6 +112,36 @@ def fully_predicted(
     return requests.select("req_id").join(done, "req_id", "left_semi")
 
 
+def mark_predicted(
+    requests: DataFrame, backlog: DataFrame, predictions: DataFrame
+) -> DataFrame:
+    """The requests table after fetched requests with nothing left to predict moved on."""
+    done = fully_predicted(requests, backlog, predictions)
+    return transition(requests, done, "PREDICTED_MODEL", only_from=["FETCHED"])
+
+
+def mark_finalized(requests: DataFrame, predictions: DataFrame) -> DataFrame:
+    """The requests table after the requests that are to be finalised moved on."""
+    done = requests_to_finalize(requests, predictions)
+    return transition(requests, done, "FINALIZED", only_from=["PREDICTED_MODEL"])
+
+
+def fail_unusable(
+    requests: DataFrame,
+    raw: DataFrame,
+    only_from: Sequence[str] = ("LOCKED",),
+    url: str = "video_url",
+) -> DataFrame:
+    """The requests table after requests without a video or without comments have failed."""
+    taken = requests.filter(F.col("status").isin(*only_from)).select(
+        "req_id", extract_video_id(url).isNull().alias("_invalid")
+    )
+    filled = raw.select("req_id").distinct()
+    empty = taken.filter(~F.col("_invalid")).join(filled, "req_id", "left_anti")
+    failed = taken.filter("_invalid").unionByName(empty)
+    return transition(requests, failed, "FAILED", only_from=only_from)
+
+
 def _active(requests: DataFrame, statuses: Sequence[str]) -> DataFrame:
     active = requests.filter(F.col("status").isin(*statuses))
     return active.groupBy("user_id", "video_url").agg(
@@ -142,7 +172,7 @@ def route_submissions(
 def new_requests(
     requests: DataFrame, submissions: DataFrame, active: Sequence[str] = ACTIVE_STATUSES
 ) -> DataFrame:
-    """Requests to insert, without ids; see ``assign_ids`` for those."""
+    """Requests to insert, without ids; ``tables.as_rows_of`` gives those."""
     routed = route_submissions(requests, submissions, active)
     fresh = routed.filter(F.col("existing_req_id").isNull())
     return fresh.select("user_id", "video_url", F.lit("NEW").alias("status"), "created_at")

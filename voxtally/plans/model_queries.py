@@ -200,7 +200,8 @@ def scored_in_batches(t):
     ["labelled"],
 )
 def predictions_attached(t):
-    scored = score_batches(t.texts.select("doc_id", "text"), "text", vowel_model, SENTIMENT_OF_CLASS)
+    # Only rows with a label are scored.
+    scored = score_batches(t.labelled.select("doc_id", "text"), "text", vowel_model, SENTIMENT_OF_CLASS)
     attached = attach_predictions(t.labelled, scored, "doc_id")
     return attached.withColumn("confidence", F.round("confidence", 6))
 

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from voxtally.functions.labels import LABEL_DEFAULT_SYMBOL, LABEL_SYMBOLS, STATUS_SYMBOLS
 from voxtally.functions.labels import TOP_LABEL_DEFAULT_SYMBOL
 from voxtally.operators import comments as C
+from voxtally.operators import groups as G
 from voxtally.operators import requests as R
 from voxtally.operators import results as S
-from voxtally.plans.bindings import sql_case
+from voxtally.operators import tables as M
+from voxtally.plans.bindings import WATCH, sql_case
 from voxtally.plans.registry import query
+from voxtally.schemas import FINAL_RESULTS, REQUESTS, REVIEW_QUEUE
 
 
 def _shown(column: str):
@@ -119,18 +122,82 @@ def requests_moved(t):
     return moved.drop("created_at")
 
 
+# Comments with a label, and those of requests with a large event, have a prediction.
+_LEFT = """
+    SELECT p.req_id FROM preprocessed_comments p
+    WHERE p.comment_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)
+      AND p.req_id NOT IN (SELECT user_id FROM events WHERE value > 200)"""
+
+
+def _left(t):
+    made = t.given("labels").select(F.col("doc_id").cast("string").alias("comment_id"))
+    ready = t.given("events").filter("value > 200").select(F.col("user_id").alias("req_id")).distinct()
+    of_ready = t.raw_comments.join(ready, "req_id", "left_semi").select("comment_id")
+    return C.prediction_backlog(t.preprocessed_comments, t.raw_comments, made.union(of_ready))
+
+
 @query(
     "fully_predicted_requests",
-    """SELECT req_id FROM requests r
+    f"""SELECT req_id FROM requests r
        WHERE req_id IN (SELECT req_id FROM predictions)
-         AND req_id NOT IN (SELECT p.req_id FROM preprocessed_comments p
-             WHERE p.comment_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels))""",
+         AND req_id NOT IN ({_LEFT})""",
     ["requests", "predictions", "preprocessed_comments"],
 )
 def fully_predicted_requests(t):
-    made = t.given("labels").select(F.col("doc_id").cast("string").alias("comment_id"))
-    backlog = C.prediction_backlog(t.preprocessed_comments, t.raw_comments, made)
-    return R.fully_predicted(t.requests, backlog, t.predictions)
+    return R.fully_predicted(t.requests, _left(t), t.predictions)
+
+
+@query(
+    "requests_after_prediction",
+    f"""SELECT req_id, user_id, video_url,
+              CASE WHEN status = 'FETCHED' AND req_id IN (SELECT req_id FROM predictions)
+                        AND req_id NOT IN ({_LEFT})
+                   THEN 'PREDICTED_MODEL' ELSE status END AS status
+        FROM requests""",
+    ["requests", "predictions", "preprocessed_comments"],
+)
+def requests_after_prediction(t):
+    return R.mark_predicted(t.requests, _left(t), t.predictions).drop("created_at")
+
+
+@query(
+    "requests_after_finalizing",
+    """SELECT req_id, user_id, video_url,
+              CASE WHEN status = 'PREDICTED_MODEL' AND req_id IN (
+                        SELECT req_id FROM predictions WHERE model_prediction IS NOT NULL)
+                   THEN 'FINALIZED' ELSE status END AS status
+       FROM requests""",
+    ["requests", "predictions"],
+)
+def requests_after_finalizing(t):
+    return R.mark_finalized(t.requests, t.predictions).drop("created_at")
+
+
+_SITE = WATCH.removesuffix("watch?v=")
+
+
+@query(
+    "unusable_requests_failed",
+    f"""SELECT req_id, user_id, video_url,
+              CASE WHEN status = 'LOCKED' AND (video_url = '{_SITE}'
+                        OR req_id NOT IN (SELECT req_id FROM raw_comments))
+                   THEN 'FAILED' ELSE status END AS status
+        FROM (SELECT * REPLACE (CASE WHEN video_url = '{WATCH}error' THEN '{_SITE}' ELSE video_url END
+                                AS video_url) FROM requests)""",
+    ["requests", "raw_comments"],
+)
+def unusable_requests_failed(t):
+    # Some addresses lose their video.
+    url = F.when(F.col("video_url") == WATCH + "error", F.lit(_SITE)).otherwise(F.col("video_url"))
+    return R.fail_unusable(t.requests.withColumn("video_url", url), t.raw_comments).drop("created_at")
+
+
+_RUN_AT, _SECONDS = "2024-06-01 12:00:00", "yyyy-MM-dd HH:mm:ss"
+
+
+def _sql_number(key: str) -> str:
+    """Numbers from 1 in the seeded order of a key."""
+    return f"row_number() OVER (ORDER BY md5('0:' || {key}), {key})"
 
 
 _ROUTED = """
@@ -156,16 +223,21 @@ def submissions_routed(t):
 
 @query(
     "insert_if_absent",
-    f"""SELECT user_id, video_url, status, {_sql_shown("created_at")} AS created_at FROM (
-            SELECT user_id, video_url, status, created_at FROM requests UNION ALL
-            SELECT user_id, video_url, 'NEW', created_at FROM ({_ROUTED})
+    f"""SELECT req_id, user_id, video_url, status, {_sql_shown("created_at")} AS created_at FROM (
+            SELECT req_id, user_id, video_url, status, created_at FROM requests UNION ALL
+            SELECT CAST((SELECT max(req_id) FROM requests) + {_sql_number("user_id || ' ' || video_url")}
+                        AS INTEGER), user_id, video_url, 'NEW', created_at FROM ({_ROUTED})
             WHERE existing_req_id IS NULL)""",
     ["submissions", "requests"],
 )
 def requests_with_new(t):
     fresh = R.new_requests(t.requests, t.submissions)
-    both = t.requests.drop("req_id").unionByName(fresh)
-    return both.select("user_id", "video_url", "status", _shown("created_at"))
+    last = G.next_id_start(t.requests, "req_id")
+    fresh = M.as_rows_of(REQUESTS, fresh, ["user_id", "video_url"], after=last)
+    both = t.requests.select("req_id", "user_id", "video_url", "status", _shown("created_at"))
+    return both.unionByName(
+        fresh.select("req_id", "user_id", "video_url", "status", _shown("created_at"))
+    )
 
 
 # Backlogs ---------------------------------------------------------------------
@@ -261,25 +333,32 @@ _DONE = "SELECT CAST(doc_id AS VARCHAR) FROM labels"
 
 @query(
     "finalize_results",
-    f"""SELECT comment_id, req_id, model_prediction AS emotion_class, 'MODEL' AS source
+    f"""SELECT CAST((SELECT max(doc_id) FROM labels) + {_sql_number("comment_id")} AS INTEGER) AS id,
+               comment_id, req_id, model_prediction AS emotion_class, 'MODEL' AS source,
+               '{_RUN_AT}' AS created_at
         FROM ({_DUE}) WHERE comment_id NOT IN ({_DONE})""",
     ["predictions", "raw_comments", "requests"],
 )
 def results_finalized(t):
     existing = t.given("labels").select(F.col("doc_id").cast("string").alias("comment_id"))
-    return S.finalize(t.finalizable(), existing)
+    last = G.next_id_start(t.given("labels"), "doc_id")
+    new = M.as_rows_of(FINAL_RESULTS, S.finalize(t.finalizable(), existing), ["comment_id"], last, F.lit(_RUN_AT))
+    return new.withColumn("created_at", F.date_format("created_at", _SECONDS))
 
 
 @query(
     "enqueue_review",
-    f"""SELECT comment_id, req_id, text_display AS text, model_prediction,
-               model_confidence AS confidence, 'PENDING' AS status
+    f"""SELECT CAST((SELECT max(doc_id) FROM labels) + {_sql_number("comment_id")} AS INTEGER) AS id,
+               comment_id, req_id, text_display AS text, model_prediction,
+               model_confidence AS confidence, 'PENDING' AS status, '{_RUN_AT}' AS created_at
         FROM ({_DUE}) WHERE model_confidence < 0.6 AND comment_id NOT IN ({_DONE})""",
     ["predictions", "raw_comments", "requests"],
 )
 def review_enqueued(t):
     existing = t.given("labels").select(F.col("doc_id").cast("string").alias("comment_id"))
-    return S.enqueue_review(t.finalizable(), existing)
+    last = G.next_id_start(t.given("labels"), "doc_id")
+    new = M.as_rows_of(REVIEW_QUEUE, S.enqueue_review(t.finalizable(), existing), ["comment_id"], last, F.lit(_RUN_AT))
+    return new.withColumn("created_at", F.date_format("created_at", _SECONDS))
 
 
 _STATS = """

@@ -103,6 +103,37 @@ def deleted_with_null(t):
     return rows.select("id", "comment_id", "req_id", "status")
 
 
+def _after_requests(t):
+    """The store after failed requests, two levels above results and reviews, are deleted."""
+    store = {
+        "requests": t.requests,
+        "raw_comments": t.raw_comments,
+        "final_results": t.final_results,
+        "review_queue": t.review_queue,
+    }
+    return M.cascade(store, "requests", t.requests.filter(F.col("status") == "FAILED"))
+
+
+@query(
+    "results_after_requests",
+    f"""SELECT comment_id, req_id, emotion_class FROM final_results WHERE comment_id NOT IN (
+            SELECT comment_id FROM raw_comments WHERE req_id IN ({_FAILED}))""",
+    ["requests", "raw_comments", "final_results"],
+)
+def results_after_requests(t):
+    return _after_requests(t)["final_results"].select("comment_id", "req_id", "emotion_class")
+
+
+@query(
+    "reviews_after_requests",
+    f"""SELECT id, CASE WHEN req_id NOT IN ({_FAILED}) THEN comment_id END AS comment_id, req_id, status
+        FROM review_queue""",
+    ["requests", "review_queue"],
+)
+def reviews_after_requests(t):
+    return _after_requests(t)["review_queue"].select("id", "comment_id", "req_id", "status")
+
+
 @query(
     "export_for_annotation",
     """SELECT c.text_display AS text, '' AS label FROM raw_comments c
