@@ -68,6 +68,8 @@ def test_summary_per_file(golden):
     got = {r.file: r for r in M.evaluation_summary(both, ["file"]).collect()}
     assert round(got["x"].accuracy, 3) == 0.863 and got["x"].verdict == "EXCELLENT"
     assert got["y"].accuracy == 1 and got["y"].f1_macro == 1 and got["y"].samples == 597
+    assert [round(got["x"][f"f1_{c}"], 2) for c in ("negative", "neutral", "positive")] == [0.90, 0.86, 0.83]
+    assert M.evaluation_summary(both, ["file"], labels=["absent"]).first().f1_absent == 0
 
 
 def test_unknown_truth_is_wrong(spark):

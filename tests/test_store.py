@@ -345,6 +345,35 @@ def test_stamped_path():
     assert files.stamped_path("/x/", "review_queue", at) == "/x/review_queue_20240131_235959"
 
 
+def test_comment_tables_meet_without_a_shuffle(spark):
+    db = f"store_{uuid.uuid4().hex[:8]}"
+    try:
+        catalog.create_tables(spark, db, buckets=4)
+        raw, predicted = spark.table(f"{db}.raw_comments"), spark.table(f"{db}.predictions")
+        with_text = predicted.hint("merge").join(raw.select("comment_id", "text_display"), "comment_id")
+        assert "Exchange" not in with_text._jdf.queryExecution().executedPlan().toString()
+        # The keys of a bucketed table are made distinct where they are.
+        left = raw.join(predicted.select("comment_id").distinct().hint("merge"), "comment_id", "left_anti")
+        assert "Exchange" not in left._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.sql(f"DROP DATABASE IF EXISTS {db} CASCADE")
+
+
+def test_encoding_with_a_small_and_a_large_vocabulary(spark, monkeypatch):
+    rows = [(1, "a b  c a"), (2, None), (3, ""), (4, "b " * 9), (5, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    vocab = spark.createDataFrame([("a", 2), ("b", 3)], "word string, word_id int")
+    small = encode_fixed_length(df, vocab, max_length=5)
+    assert "Exchange" not in small._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr("voxtally.operators.sides.MAX_BROADCAST_ROWS", 1)
+    large = encode_fixed_length(df, vocab, max_length=5)
+    got = [sorted(map(tuple, d.collect())) for d in (small, large)]
+    assert got[0] == got[1]
+    assert got[0][0] == (1, [2, 3, 1, 2, 0], [1, 1, 1, 1, 0]) and got[0][1] == (2, [0] * 5, [0] * 5)
+    assert encode_fixed_length(df.limit(0), vocab).count() == 0
+    assert encode_fixed_length(df, vocab.limit(0), max_length=2).filter("doc_id = 4").first().input_ids == [1, 1]
+
+
 def test_catalog(spark):
     db = f"store_{uuid.uuid4().hex[:8]}"
     plan = catalog.create_tables(spark, db, dry_run=True)

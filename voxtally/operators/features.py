@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxtally.functions.labels import CLASS_WEIGHTS, lookup
 from voxtally.functions.text import tokenize
-from voxtally.operators.sides import bounded_broadcast
+from voxtally.operators.sides import bounded_broadcast, is_small
 
 # Fixed values -----------------------------------------------------------------
 PAD_ID = 0
@@ -64,13 +69,56 @@ def encode_fixed_length(
 ) -> DataFrame:
     """Word ids of every text, cut and padded to ``max_length``, with the mask.
 
-    A text is cut before its words are looked up: the encoding has a fixed
-    length, so no group is larger than that. A vocabulary of usual size is sent
-    to every task; frequent words then are no hot keys.
+    A vocabulary within the bounds of a broadcast is sent to every task and the words
+    of a text are looked up where the text is, in Arrow batches: no row is shuffled.
+    A larger one is joined by a shuffle. A NULL text is all padding. Words of the
+    vocabulary are unique.
     """
     tokens = F.slice(F.coalesce(tokenize(text), F.array().cast("array<string>")), 1, max_length)
-    words = df.select(key, F.posexplode_outer(tokens).alias("_at", "word"))
-    found = words.join(bounded_broadcast(vocab), "word", "left")
+    cut = df.select(key, tokens.alias("_words"))
+    vocab = vocab.select("word", "word_id").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        known = vocab.toArrow() if is_small(vocab) else None
+    finally:
+        vocab.unpersist()
+    if known is None:
+        return _encoded_by_join(cut, vocab, key, max_length)
+    whole = T.ArrayType(T.IntegerType(), False)
+    schema = T.StructType([df.schema[key], T.StructField("input_ids", whole), T.StructField("attention_mask", whole)])
+    return cut.mapInArrow(_encoder(known, key, max_length), schema)
+
+
+def _encoder(known: pa.Table, key: str, max_length: int):
+    known = known.filter(pc.is_valid(known.column("word"))).combine_chunks()
+    words = pa.array(known.column("word").to_pylist(), pa.string())
+    ids = np.asarray(known.column("word_id"), np.int32)
+    pad, unknown = PAD_ID, UNKNOWN_ID
+
+    def encode(batches):
+        for batch in batches:
+            column = batch.column("_words")
+            counts = np.asarray(column.value_lengths()).astype(np.int64)
+            # Places in the vocabulary, the one after its end for words it does not have.
+            place = np.asarray(pc.fill_null(pc.index_in(column.flatten(), value_set=words), len(words)))
+            row = np.repeat(np.arange(len(counts)), counts)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            out = np.full((len(counts), max_length), pad, np.int32)
+            mask = np.zeros((len(counts), max_length), np.int32)
+            out[row, at] = np.append(ids, np.int32(unknown))[place]
+            mask[row, at] = 1
+            ends = pa.array(np.arange(len(counts) + 1) * max_length, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(key), *(pa.ListArray.from_arrays(ends, pa.array(x.ravel())) for x in (out, mask))],
+                [key, "input_ids", "attention_mask"],
+            )
+
+    return encode
+
+
+def _encoded_by_join(cut: DataFrame, vocab: DataFrame, key: str, max_length: int) -> DataFrame:
+    """The same through a shuffle on the word and one on the key, which has to be unique."""
+    words = cut.select(key, F.posexplode_outer("_words").alias("_at", "word"))
+    found = words.join(vocab, "word", "left")
     # Position and id share one number: the lists that are shuffled, one per text,
     # then hold eight bytes per word, and sorting them restores the order.
     word_id = F.coalesce("word_id", F.lit(UNKNOWN_ID))

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxtally.functions.labels import accuracy_verdict
+from voxtally.functions.labels import SENTIMENTS, accuracy_verdict
 
 
 def outcome_counts(
@@ -45,11 +45,11 @@ def accuracy(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def classification_report(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Precision, recall, F1 and support of every class seen as truth or prediction.
+def class_scores(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The report with the hits of every class.
 
-    A figure whose denominator is 0 is 0. Each count is booked once for its true
-    and once for its predicted class, so no join is needed.
+    Each count is booked once for its true and once for its predicted class, so no
+    join is needed.
     """
     none = F.lit(0).cast("long")
 
@@ -82,9 +82,18 @@ def classification_report(counts: DataFrame, by: Sequence[str] = ()) -> DataFram
         recall.alias("recall"),
         f1.alias("f1"),
         "support",
+        F.col("_hits").alias("hits"),
     )
 
 
+def classification_report(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Precision, recall, F1 and support of every class seen as truth or prediction.
+
+    A figure whose denominator is 0 is 0.
+    """
+    return class_scores(counts, by).drop("hits")
+
+
 def _mean(column: str, weighted: bool) -> Column:
     if not weighted:
         return F.avg(column)
@@ -159,18 +168,23 @@ def evaluation_summary(
     by: Sequence[str],
     truth: str = "truth",
     predicted: str = "predicted",
+    labels: Sequence[str] = SENTIMENTS,
 ) -> DataFrame:
-    """One row per evaluated file: samples, accuracy, both F1 means and the verdict.
+    """One row per evaluated file: samples, accuracy, both F1 means, the F1 of each of
+    ``labels`` (``f1_<label>``, 0 for a class the file does not have) and the verdict.
 
-    The rows are read once. Per class and file the report keeps what accuracy
-    needs as well (hits are recall times support), so nothing is joined.
+    The rows are read once. Per class and file the report keeps the hits as well, so
+    nothing is joined.
     """
-    report = classification_report(outcome_counts(df, truth, predicted, by), by)
-    hits = F.sum(F.round(F.col("recall") * F.col("support")))
+    report = class_scores(outcome_counts(df, truth, predicted, by), by)
+    per_class = [
+        F.coalesce(F.max(F.when(F.col("label") == x, F.col("f1"))), F.lit(0.0)).alias(f"f1_{x}") for x in labels
+    ]
     summary = report.groupBy(*by).agg(
         F.sum("support").alias("samples"),
-        F.try_divide(hits, F.sum("support")).alias("accuracy"),
+        F.try_divide(F.sum("hits"), F.sum("support")).alias("accuracy"),
         _mean("f1", True).alias("f1_weighted"),
         _mean("f1", False).alias("f1_macro"),
+        *per_class,
     )
     return summary.withColumn("verdict", accuracy_verdict("accuracy"))

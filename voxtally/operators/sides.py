@@ -10,6 +10,14 @@ MAX_BROADCAST_ROWS = 100_000
 MAX_BROADCAST_BYTES = 16 << 20
 
 
+def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
+    """Whether the rows and the bytes of their values are few enough for every task."""
+    limit = MAX_BROADCAST_ROWS if max_rows is None else max_rows
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(0))
+    rows, total = df.agg(F.count("*"), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
+    return rows <= limit and total <= MAX_BROADCAST_BYTES
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """A side to broadcast if it has few rows and bytes, else the side unchanged.
 
@@ -23,7 +31,4 @@ def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     Only for sides of a few key columns, and for rows that are the same whenever
     they are computed.
     """
-    limit = MAX_BROADCAST_ROWS if max_rows is None else max_rows
-    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(0))
-    rows, total = df.agg(F.count("*"), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
-    return F.broadcast(df) if rows <= limit and total <= MAX_BROADCAST_BYTES else df
+    return F.broadcast(df) if is_small(df, max_rows) else df

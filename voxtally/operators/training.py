@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from voxtally.functions.text import tokenize
 from voxtally.operators.features import class_weights
 from voxtally.operators.groups import split_by_share
-from voxtally.operators.metrics import classification_report, outcome_counts
+from voxtally.operators.metrics import class_scores, outcome_counts
 
 # Fixed values -----------------------------------------------------------------
 VALIDATION_SHARE = 0.2
@@ -38,6 +38,22 @@ def training_rows(df: DataFrame, text: str = "text", label_id: str = "label_id")
     return df.withColumn("words", words).withColumn("target", F.col(label_id).cast("double"))
 
 
+def split_support(
+    df: DataFrame,
+    key: str,
+    label: str = "label",
+    share: float = VALIDATION_SHARE,
+    seed: int = SPLIT_SEED,
+) -> DataFrame:
+    """What :func:`train_classifier` fits and validates on: rows of each class on both
+    sides of its split, and the weight of the class."""
+    split = split_by_share(df.select(key, label), [label], key, share, seed, "_held_out")
+    counts = split.groupBy(label).agg(
+        F.count_if(~F.col("_held_out")).alias("train_rows"), F.count_if("_held_out").alias("held_out_rows")
+    )
+    return class_weights(counts, label=label)
+
+
 def train_classifier(
     df: DataFrame,
     key: str,
@@ -80,9 +96,9 @@ def train_classifier(
                 regParam=reg,
             ).fit(train)
             scored = model.transform(held_out).select("target", "prediction")
-            report = classification_report(outcome_counts(scored, "target", "prediction"))
+            report = class_scores(outcome_counts(scored, "target", "prediction"))
             scores = report.agg(
-                F.sum(F.col("recall") * F.col("support")).alias("hits"),
+                F.sum("hits").alias("hits"),
                 F.sum(F.col("f1") * F.col("support")).alias("f1"),
                 F.sum("support").alias("n"),
             ).first()

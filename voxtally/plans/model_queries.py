@@ -13,7 +13,7 @@ from voxtally.operators import features as E
 from voxtally.operators import groups as G
 from voxtally.operators.results import label_shares
 from voxtally.operators.scoring import attach_predictions, score_batches, score_linear
-from voxtally.operators.training import train_classifier
+from voxtally.operators.training import split_support, train_classifier
 from voxtally.plans.bindings import sql_tokens
 from voxtally.plans.registry import query
 
@@ -206,6 +206,21 @@ def predictions_attached(t):
     return attached.withColumn("confidence", F.round("confidence", 6))
 
 
+@query(
+    "training_support",
+    """SELECT label, count(*) FILTER (WHERE r > round(0.2 * n)) AS train_rows,
+              count(*) FILTER (WHERE r <= round(0.2 * n)) AS held_out_rows,
+              CASE label WHEN 'neutral' THEN 1.33::DOUBLE ELSE 0.89::DOUBLE END AS weight
+       FROM (SELECT label, count(*) OVER (PARTITION BY label) AS n,
+                    row_number() OVER (PARTITION BY label ORDER BY md5('42:' || doc_id), doc_id) AS r
+             FROM labelled)
+       GROUP BY label""",
+    ["labelled"],
+)
+def support_of_training(t):
+    return split_support(t.labelled, "doc_id")
+
+
 @query("train_classifier")
 def classifier_trained(t):
     rows = E.index_labels(t.labelled.select("doc_id", "text", "label"))

@@ -378,17 +378,22 @@ _VERDICT = " ".join(f"WHEN accuracy >= {least} THEN '{name}'" for least, name in
 @query(
     "evaluation_summary",
     f"""SELECT source, samples, round(accuracy, 6) AS accuracy, round(f1_weighted, 6) AS f1_weighted,
-               round(f1_macro, 6) AS f1_macro,
+               round(f1_macro, 6) AS f1_macro, round(f1_negative, 6) AS f1_negative,
+               round(f1_neutral, 6) AS f1_neutral, round(f1_positive, 6) AS f1_positive,
                CASE {_VERDICT} ELSE '{WORST_VERDICT}' END AS verdict
         FROM (SELECT source, sum(s)::BIGINT AS samples, sum(h) / sum(s) AS accuracy,
                      sum(2.0 * h / (p + s) * s) / sum(s) AS f1_weighted,
-                     avg(2.0 * h / (p + s)) AS f1_macro
+                     avg(2.0 * h / (p + s)) AS f1_macro,
+                     {", ".join(
+                         f"coalesce(max(2.0 * h / (p + s)) FILTER (WHERE label = '{x}'), 0) AS f1_{x}"
+                         for x in ("negative", "neutral", "positive"))}
               FROM ({_BY_SOURCE}) GROUP BY source)""",
     ["evaluated"],
 )
 def evaluation_summary(t):
     summary = M.evaluation_summary(t.evaluated, ["source"])
-    return _rounded(summary, "accuracy", "f1_weighted", "f1_macro")
+    per_class = ("f1_negative", "f1_neutral", "f1_positive")
+    return _rounded(summary, "accuracy", "f1_weighted", "f1_macro", *per_class)
 
 
 @query(

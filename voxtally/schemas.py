@@ -57,6 +57,7 @@ class Table:
     domains: dict[str, tuple[str, ...]] = field(default_factory=dict)
     max_lengths: dict[str, int] = field(default_factory=dict)
     partition_by: tuple[str, ...] = ()
+    bucket_by: str | None = None
 
     @property
     def not_null(self) -> list[str]:
@@ -95,6 +96,7 @@ RAW_COMMENTS = Table(
     primary_key="comment_id",
     foreign_keys=(ForeignKey("req_id", "requests", "req_id", "cascade"),),
     max_lengths={"comment_id": 50, "video_id": 20},
+    bucket_by="comment_id",
 )
 
 PREPROCESSED_COMMENTS = Table(
@@ -110,6 +112,7 @@ PREPROCESSED_COMMENTS = Table(
     primary_key="comment_id",
     foreign_keys=(_COMMENT,),
     max_lengths={"comment_id": 50, "processed_by": 30},
+    bucket_by="comment_id",
 )
 
 PREDICTIONS = Table(
@@ -125,6 +128,7 @@ PREDICTIONS = Table(
     primary_key="id",
     foreign_keys=(_COMMENT,),
     max_lengths={"comment_id": 50, "model_prediction": 20},
+    bucket_by="comment_id",
 )
 
 FINAL_RESULTS = Table(
@@ -140,6 +144,7 @@ FINAL_RESULTS = Table(
     primary_key="id",
     foreign_keys=(_COMMENT,),
     max_lengths={"comment_id": 50, "emotion_class": 20, "source": 20},
+    bucket_by="comment_id",
 )
 
 REVIEW_QUEUE = Table(
@@ -159,6 +164,7 @@ REVIEW_QUEUE = Table(
     max_lengths={"comment_id": 50, "model_prediction": 20, "status": 20},
     # Most reads want the pending rows only: partition pruning serves them.
     partition_by=("status",),
+    bucket_by="comment_id",
 )
 
 LABELED_DATASET = Table(

@@ -11,26 +11,33 @@ from pyspark.sql import functions as F
 from voxtally.operators.results import pending_reviews, training_export
 from voxtally.schemas import TABLES, Table
 
-def create_table_statement(table: Table, database: str) -> str:
+BUCKETS = 4096
+
+
+def create_table_statement(table: Table, database: str, buckets: int = BUCKETS) -> str:
+    """Tables that meet on the comment id share its buckets, so that joining them shuffles nothing."""
     columns = ", ".join(
         f"{f.name} {f.dataType.simpleString()}" + ("" if f.nullable else " NOT NULL")
         for f in table.schema.fields
     )
     parts = f" PARTITIONED BY ({', '.join(table.partition_by)})" if table.partition_by else ""
+    if table.bucket_by:
+        parts += f" CLUSTERED BY ({table.bucket_by}) INTO {buckets} BUCKETS"
     return f"CREATE TABLE IF NOT EXISTS {database}.{table.name} ({columns}) USING parquet{parts}"
 
 
 def create_tables(
-    spark: SparkSession, database: str, force: bool = False, dry_run: bool = False
+    spark: SparkSession, database: str, force: bool = False, dry_run: bool = False, buckets: int = BUCKETS
 ) -> list[str]:
     """Create the database and the tables that are missing; ``force`` drops them first.
 
+    ``buckets`` follows the data: a bucket of the widest table should fit a task.
     Returns the statements. With ``dry_run`` they are only returned.
     """
     statements = [f"CREATE DATABASE IF NOT EXISTS {database}"]
     if force:
         statements += [f"DROP TABLE IF EXISTS {database}.{t}" for t in reversed(TABLES)]
-    statements += [create_table_statement(t, database) for t in TABLES.values()]
+    statements += [create_table_statement(t, database, buckets) for t in TABLES.values()]
     if not dry_run:
         for statement in statements:
             spark.sql(statement)
