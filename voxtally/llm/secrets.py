@@ -6,9 +6,10 @@ around it: an embedding of the character and of its part (before, inside, after)
 convolution, the largest response inside and the largest outside, and a logistic
 layer. It is trained on labelled findings of a bounded sample of documents: what the
 patterns find, keys of other shapes set into contexts of the sample, and, as
-negatives, the other candidates and ordinary long words, numbers, paths and names. Scores are calibrated
+negatives, the other candidates that are made of words or dates and ordinary long words, numbers,
+paths and names. Candidates of which neither is known are not labelled. Scores are calibrated
 on held-out findings, and the threshold is the highest one that still recalls the
-required share of the held-out secrets.
+required share of the held-out secrets that a scan would ask the network about.
 
 Scanning is one map over the documents, nothing is shuffled.
 """
@@ -18,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
 from collections.abc import Iterable
 from typing import NamedTuple
 
@@ -236,7 +238,9 @@ def train(
     logits = np.log(raw / (1 - raw))
     scale, shift = _platt(logits, y[held])
     calibrated = 1 / (1 + np.exp(-np.clip(scale * logits + shift, -60, 60)))
-    secret = np.sort(calibrated[y[held] == 1])[::-1]
+    # What the patterns find, or what is no candidate, is never asked and says nothing of recall.
+    asked = np.array([_asked(*rows[i]) for i in held]) & (y[held] == 1)
+    secret = np.sort(calibrated[asked if asked.any() else y[held] == 1])[::-1]
     threshold = float(secret[max(0, int(np.ceil(recall * len(secret))) - 1)])
     return network(calibration=(scale, shift), threshold=threshold)
 
@@ -255,6 +259,12 @@ def _platt(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(w[0]), 1e-3), float(w[1])
 
 
+def _asked(before: str, value: str, after: str) -> bool:
+    """Whether a scan of the row would ask the network about just this value."""
+    text, a = before + value + after, len(before)
+    return (a, a + len(value)) in candidates(text, base_spans(text))
+
+
 _WIDE = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 
 
@@ -272,6 +282,7 @@ def _other_key(rng: random.Random) -> str:
             lambda: "eyJ" + draw(rng.randint(20, 60)) + "." + draw(rng.randint(30, 80)) + "." + draw(43),
             lambda: draw(40, _WIDE + "+/"),
             lambda: draw(rng.randint(20, 64)),
+            lambda: draw(rng.randint(24, 64), "0123456789ABCDEF"),
             lambda: draw(rng.randint(40, 160), _WIDE + "+/") + "==",
         ]
     )()
@@ -296,17 +307,35 @@ def _plain_run(rng: random.Random, words: list[str]) -> str:
     return value if len(value) >= 16 else value + "-" + pick() + "-" + pick() + number(3)
 
 
+DATED = re.compile(r"[0-9.:/_+-]*[0-9]{1,4}([-/.][0-9]{1,2}){2}(T[0-9:.+-]*Z?)?[./_+-]*")
+WORD = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z]{3,}(?![A-Za-z0-9+/_=-])")
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+
+
+def ordinary(value: str, words: set[str]) -> bool:
+    """Whether a run is made of a date, or of known words for four fifths of its letters and half of it."""
+    if DATED.fullmatch(value):
+        return True
+    parts = PART.findall(value)
+    known = sum(len(p) for p in parts if len(p) >= 3 and p.lower() in words)
+    return 5 * known >= 4 * sum(map(len, parts)) and 2 * known >= len(value)
+
+
 def labelled_findings(texts: list[str], seed: int = 23) -> tuple[list[tuple[str, str, str]], list[int]]:
     """Findings of sampled texts as (before, value, after) rows with labels.
 
     Secrets: what the base patterns find, and one value of another shape set between
-    two words of each text. Not secrets: the other candidates, and one ordinary run set
-    into each text in the same way, so the context alone decides nothing.
+    two words of each text. Not secrets: the other candidates that are ``ordinary`` in the
+    words of two texts or more, and one ordinary run set into each text in the same way, so
+    the context alone decides nothing. The other candidates may be secrets of shapes that
+    the patterns do not know, and get no label.
     """
     rng = random.Random(seed)
     rows, labels = [], []
     words = [w for t in texts for w in t.split()[:50] if w.isascii() and w.isalpha() and 3 <= len(w) <= 12]
     words = words or ["word", "other", "third"]
+    seen = Counter(w for t in texts for w in {w.lower() for w in WORD.findall(t)})
+    common = {w for w, n in seen.items() if n > 1}
     for text in texts:
         spans = base_spans(text)
         for a, kind, b in spans:
@@ -316,8 +345,9 @@ def labelled_findings(texts: list[str], seed: int = 23) -> tuple[list[tuple[str,
             rows.append((text[max(0, a - CONTEXT) : a], text[a:b], text[b : b + CONTEXT]))
             labels.append(1)
         for a, b in candidates(text, spans):
-            rows.append((text[max(0, a - CONTEXT) : a], text[a:b], text[b : b + CONTEXT]))
-            labels.append(0)
+            if ordinary(text[a:b], common):
+                rows.append((text[max(0, a - CONTEXT) : a], text[a:b], text[b : b + CONTEXT]))
+                labels.append(0)
         gaps = [m.end() for m in re.finditer(" ", text)]
         for value, label in ((_other_key(rng), 1), (_plain_run(rng, words), 0)):
             at = rng.choice(gaps) if gaps else 0
