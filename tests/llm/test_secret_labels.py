@@ -55,6 +55,7 @@ def test_recall_is_counted_over_what_a_scan_asks():
     assert not secrets._asked("token = ", "aB3dE5gH7jK9mN1pQ3sT", " there")
     assert not secrets._asked("see ", "deadbeef" * 4, " there")
     assert not secrets._asked("see ", "aB3dE5gH7j", " there")
+    assert not secrets._asked("see ", "aBcdEfghIjklMnopQrst", " there")
     rng = np.random.default_rng(3)
     draw = lambda n, letters: "".join(rng.choice(list(letters), n))
     rows = [("id ", draw(30, "0123456789abcdef"), " x") for _ in range(300)]
