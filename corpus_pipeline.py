@@ -11,7 +11,7 @@ from voxtally.llm.exact import exact_duplicates
 from voxtally.llm.packing import pack_documents
 from voxtally.llm.resampling import keep_resampled
 from voxtally.llm.secrets import fit_network, redact_secrets
-from voxtally.llm.similar import keep_one_of_similar
+from voxtally.llm.simhash import keep_one_of_each
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that link at a 5-word similarity of 0.8 or more, that with the smallest id."""
-    return keep_one_of_similar(docs, size=5, similarity=0.8).select(docs.columns)
+    """Of documents whose fingerprints of 3-word shingles link at 3 bits or fewer, that with the smallest id."""
+    return keep_one_of_each(docs, size=3).select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", quality),
     ("exact dedup", exact),
-    ("near-dedup", near),
+    ("SimHash near-dedup", near),
     ("secret scans", secrets),
     ("best-fit packing", pack),
 ]
@@ -63,5 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each one's rows written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-').lower()}")
     return STAGES[-1][1](spark, docs, sf_dir)
