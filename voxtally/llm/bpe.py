@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxtally.llm.common import blocks
+from voxtally.llm.common import Recent, blocks
 
 NONE = np.int32(2**31 - 1)
-# Distinct words a Python worker remembers; the memory is emptied beyond it.
-MAX_WORDS = 600_000
+# Bytes of the words that a Python worker remembers in one generation.
+MEMORY_BYTES = 96 << 20
 BLOCK_BYTES = 16 << 20
 
 
@@ -53,13 +53,8 @@ class Merges:
         order = np.argsort(np.array(keys, np.int64))
         self.pair_keys = np.array(keys, np.int64)[order]
         self.pair_ranks = np.array(ranks, np.int32)[order]
-        self.forget()
-
-    def forget(self) -> None:
-        self.code: dict[str, int] = {}
-        self.ids: list[str] = []
-        self.count: list[int] = []
-        self.decoded: list[bytes] = []
+        # Of each word: its ids as text, how many they are, and the bytes they decode to.
+        self.known = Recent(None, MEMORY_BYTES)
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair, ``NONE`` where the pair does not merge."""
@@ -170,18 +165,24 @@ class Merges:
             start = end
         return out
 
-    def learn(self, words: list[str]) -> None:
-        """Encode words not seen before, and decode what came out."""
-        spelled = [w.encode() for w in words]
+    def entries(self, words: list[str]) -> list[tuple[str, int, bytes]]:
+        """Ids joined by commas, their number and what they decode to, for distinct words."""
+        recall, keep = self.known.recall, self.known.keep
+        found = [recall(w, _bytes) for w in words]
+        new = [i for i, entry in enumerate(found) if entry is None]
+        spelled = [words[i].encode() for i in new]
         whole = [self.ranks.get(b) for b in spelled]
         rest = [b for b, r in zip(spelled, whole) if r is None]
         parts = iter(self.replay(rest)) if rest else iter(())
-        for word, r in zip(words, whole):
+        for i, r in zip(new, whole):
             ids = [r] if r is not None else next(parts)
-            self.code[word] = len(self.ids)
-            self.ids.append(",".join(map(str, ids)))
-            self.count.append(len(ids))
-            self.decoded.append(b"".join(map(self.bytes_of.__getitem__, ids)))
+            entry = ",".join(map(str, ids)), len(ids), b"".join(map(self.bytes_of.__getitem__, ids))
+            found[i] = keep(words[i], entry, len(words[i]) + _bytes(entry))
+        return found
+
+
+def _bytes(entry: tuple[str, int, bytes]) -> int:
+    return len(entry[0]) + len(entry[2]) + 150
 
 
 def _reached(after: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
@@ -209,26 +210,20 @@ def _encoder(key: str, text: str, path: str, pattern: str, with_ids: bool):
     def encode(batches):
         m = merges(path, pattern)
         for block in blocks(batches, text, BLOCK_BYTES):
-            if len(m.ids) > MAX_WORDS:
-                m.forget()
-            coded, new, code = [], [], m.code
-            # First the words of all texts, as numbers; new words get theirs in advance.
-            ahead: dict[str, int] = {}
-            base = len(m.ids)
+            # First the words of all texts, as numbers of the block's distinct words.
+            coded, words, number = [], [], {}
             for text_value in block.column(text).to_pylist():
                 numbers = []
                 for word in m.split(text_value or ""):
-                    c = code.get(word)
+                    c = number.get(word)
                     if c is None:
-                        c = ahead.get(word)
-                        if c is None:
-                            c = ahead[word] = base + len(new)
-                            new.append(word)
+                        c = number[word] = len(words)
+                        words.append(word)
                     numbers.append(c)
                 coded.append(np.array(numbers, np.int32))
-            if new:
-                m.learn(new)
-            ids, count, decoded = m.ids, np.array(m.count, np.int64), m.decoded
+            entries = m.entries(words)
+            ids, decoded = [e[0] for e in entries], [e[2] for e in entries]
+            count = np.array([e[1] for e in entries], np.int64)
             lists, n, hashes, texts = [], [], [], []
             for c in coded:
                 numbers = c.tolist()

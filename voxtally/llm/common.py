@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +101,47 @@ def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return table.to_batches()[0] if table.num_rows else batches[0]
 
 
+class Recent(dict):
+    """What a Python worker remembers, in two generations bounded by bytes.
+
+    A value that is not there is made by ``make``. When the young generation has grown
+    to ``limit`` bytes it becomes the old one, and the old one is forgotten; what is
+    asked for again moves back to the young one. So common keys stay, however many rare
+    ones go by, and at most twice the limit and one more value are held.
+    """
+
+    # Two objects and their entry in the table, besides what they hold.
+    ENTRY_BYTES = 200
+
+    def __init__(self, make: Callable, limit: int):
+        super().__init__()
+        self.make, self.limit = make, limit
+        self.old: dict = {}
+        self.size = 0
+
+    def __missing__(self, key: Hashable):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        return self.keep(key, value, len(key) + len(value))
+
+    def recall(self, key: Hashable, size: Callable[[object], int]):
+        """The value of a key if it is remembered, else None; nothing is made."""
+        value = self.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.keep(key, value, len(key) + size(value))
+        return value
+
+    def keep(self, key: Hashable, value, size: int):
+        self.size += size + self.ENTRY_BYTES
+        if self.size > self.limit:
+            self.old = dict(self)
+            self.clear()
+            self.size = size + self.ENTRY_BYTES
+        self[key] = value
+        return value
+
+
 # ASCII white space as in [\x20\x09-\x0D]; no byte of a longer UTF-8 character is among them.
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

@@ -21,17 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtally.llm.common import blocks, written
+from voxtally.llm.common import Recent, blocks, written
 
 GROUP_PIECES = 60_000
-# Distinct words a Python worker remembers; the memory is emptied beyond it.
-MAX_WORDS = 400_000
+# Bytes of the words, and of the letters of words, that a Python worker remembers in one generation.
+MEMORY_BYTES = 64 << 20
 END_ID = 0
 
 _WORDS: dict = {}
 
 
-class Words(dict):
+class Words:
     """Ids of the words of a text (as little-endian 32-bit numbers), encoded when first asked for.
 
     The vocabulary drops white space and never joins what it separates, and lower-cases
@@ -45,29 +45,24 @@ class Words(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = self.tokenizer.model.tokenize
-        self.pieces: dict[str, bytes] = {}
         self.letters: dict[str, str | None] = {}
         self.number = [np.uint32(i).tobytes() for i in range(self.tokenizer.get_vocab_size())]
-        self[""] = b""
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > MAX_WORDS:
-            self.clear()
-            self[""] = b""
-        if len(self.pieces) > MAX_WORDS:
-            self.pieces.clear()
+        self.ids = Recent(self._word, MEMORY_BYTES)
+        self.piece = Recent(self._piece, MEMORY_BYTES).__getitem__
+
+    def _word(self, word: str) -> bytes:
+        if not word:
+            return b""
         stem, mark = (word[:-1], word[-1]) if word[-1] in ".," else (word, "")
         # Below U+0300 no two letters compose to a third.
         if stem.isalpha() and max(stem) < "\u0300":
             known = self.letters
             spelled = [known[c] if c in known else self._letter(c) for c in stem]
             if None not in spelled:
-                ids = self._piece("".join(spelled))
-                self[word] = ids = ids + self._piece(mark) if mark else ids
-                return ids
+                ids = self.piece("".join(spelled))
+                return ids + self.piece(mark) if mark else ids
         [encoded] = self.tokenizer.encode_batch_fast([word], add_special_tokens=False)
-        self[word] = ids = b"".join([self.number[i] for i in encoded.ids])
-        return ids
+        return b"".join([self.number[i] for i in encoded.ids])
 
     def _letter(self, letter: str) -> str | None:
         """How the tokenizer spells a letter, None unless that is one lower-cased letter."""
@@ -79,17 +74,14 @@ class Words(dict):
         return spelled
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = self.pieces[piece] = b"".join([self.number[t.id] for t in self.merge(piece)])
-        return ids
+        return b"".join([self.number[t.id] for t in self.merge(piece)])
 
 
 def encoded(texts: list[str], path: str) -> list[bytes]:
     """Token ids of each text as little-endian 32-bit numbers, words remembered per worker."""
     if path not in _WORDS:
         _WORDS[path] = Words(path)
-    look = _WORDS[path].__getitem__
+    look = _WORDS[path].ids.__getitem__
     return [b"".join(map(look, t.replace("\n", " ").split(" "))) for t in texts]
 
 
