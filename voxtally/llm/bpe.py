@@ -1,10 +1,9 @@
 """Byte-level BPE by replaying the merges over all words of a block at once.
 
 A block is some megabytes of whole texts. Its distinct words, less those the Python
-worker has seen, are laid out as one array of symbols. An inverted index holds, for
-every merge rank, the positions at which that pair stands. The merges are taken in
-rank order; each one touches only the positions listed for it and, of these, only the
-neighbours get new index entries. Texts are then put together from their words.
+worker has seen, are laid out as one array of symbols, and the merges are replayed over
+it in rank order from an inverted index (``merging.py``). Texts are then put together
+from their words.
 
 Words in which a rank order over the corpus could differ from the order inside the
 word (the pair overlaps itself, or a merge makes a pair of lower rank) are set aside
@@ -24,8 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxtally.llm.common import Recent, blocks
+from voxtally.llm.merging import Pairs, replay
 
-NONE = np.int32(2**31 - 1)
 # Bytes of the words that a Python worker remembers in one generation.
 MEMORY_BYTES = 96 << 20
 BLOCK_BYTES = 16 << 20
@@ -43,25 +42,18 @@ class Merges:
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.split = regex.compile(pattern).findall
-        keys, ranks = [], []
+        left, right, ranks = [], [], []
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
                 a, b = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if a is not None and b is not None:
-                    keys.append(a << 32 | b)
+                    left.append(a)
+                    right.append(b)
                     ranks.append(rank)
-        order = np.argsort(np.array(keys, np.int64))
-        self.pair_keys = np.array(keys, np.int64)[order]
-        self.pair_ranks = np.array(ranks, np.int32)[order]
+        self.pairs = Pairs(left, right, ranks)
         # Of each word: its ids as text, how many they are, and the bytes they decode to.
         self.known = Recent(None, MEMORY_BYTES)
 
-    def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Rank of each pair, ``NONE`` where the pair does not merge."""
-        key = a.astype(np.int64) << 32 | b
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NONE)
-
     def one_word(self, word: bytes) -> list[int]:
         """Lowest rank first, leftmost first."""
         n, ranks = len(word), self.ranks
@@ -89,76 +81,9 @@ class Merges:
     def replay(self, words: list[bytes]) -> list[list[int]]:
         """Token ids of every word (none of them empty), by merges over all of them."""
         lengths = np.array([len(w) for w in words], np.int64)
-        upto = np.cumsum(lengths)
-        n = int(upto[-1])
         token = self.single[np.frombuffer(b"".join(words), np.uint8)]
-        word_of = np.repeat(np.arange(len(words)), lengths)
-        after = np.arange(1, n + 1, dtype=np.int64)
-        after[upto - 1] = -1
-        before = np.arange(-1, n - 1, dtype=np.int64)
-        before[upto - lengths] = -1
-        rank = np.full(n, NONE, np.int32)
-        inner = np.flatnonzero(after >= 0)
-        rank[inner] = self.rank_of(token[inner], token[inner + 1])
-        apart = np.zeros(len(words), bool)
-
-        index: dict[int, list[np.ndarray]] = {}
-        heap: list[int] = []
-
-        def enter(positions: np.ndarray) -> None:
-            r = rank[positions]
-            valid = r < NONE
-            positions, r = positions[valid], r[valid]
-            if not len(positions):
-                return
-            order = np.argsort(r, kind="stable")
-            positions, r = positions[order], r[order]
-            cuts = np.flatnonzero(r[1:] != r[:-1]) + 1
-            starts = [0, *cuts.tolist()]
-            for value, a, b in zip(r[starts].tolist(), starts, [*starts[1:], len(r)]):
-                if value not in index:
-                    index[value] = []
-                    heapq.heappush(heap, value)
-                index[value].append(positions[a:b])
-
-        enter(inner)
-        while heap:
-            r = heapq.heappop(heap)
-            found = index.pop(r)
-            at = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
-            at = at[rank[at] == r]
-            if not len(at):
-                continue
-            right = after[at]
-            overlap = rank[right] == r
-            if overlap.any():
-                apart[word_of[at[overlap]]] = True
-                keep = ~apart[word_of[at]]
-                at, right = at[keep], right[keep]
-                if not len(at):
-                    continue
-            far = after[right]
-            token[at] = r
-            after[at] = far
-            rank[right] = NONE
-            rank[at] = NONE
-            inside = far >= 0
-            before[far[inside]] = at[inside]
-            left = before[at]
-            left = left[left >= 0]
-            touched = np.concatenate([at[inside], left])
-            if not len(touched):
-                continue
-            rank[touched] = self.rank_of(token[touched], token[after[touched]])
-            lower = rank[touched] < r
-            if lower.any():
-                apart[word_of[touched[lower]]] = True
-            enter(touched)
-
-        # Symbols that were swallowed are those no chain from a word's start reaches.
-        alive = _reached(after, upto - lengths, n)
-        ids = token[alive].tolist()
-        ends = np.cumsum(np.bincount(word_of[alive], minlength=len(words))).tolist()
+        left, counts, apart = replay(token, lengths, self.pairs)
+        ids, ends = left.tolist(), np.cumsum(counts).tolist()
         out, start = [], 0
         for i, end in enumerate(ends):
             out.append(self.one_word(words[i]) if apart[i] else ids[start:end])
@@ -185,17 +110,6 @@ def _bytes(entry: tuple[str, int, bytes]) -> int:
     return len(entry[0]) + len(entry[2]) + 150
 
 
-def _reached(after: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    """Positions on the chains that begin at ``starts``."""
-    alive = np.zeros(n, bool)
-    at = starts
-    while len(at):
-        alive[at] = True
-        at = after[at]
-        at = at[at >= 0]
-    return alive
-
-
 _MERGES: dict = {}
 
 

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from voxtally.llm.bpe import bpe_encode
 from voxtally.llm.exact import exact_duplicates
+from voxtally.llm.negatives import hard_negatives
 from voxtally.llm.packing import pack_documents
+from voxtally.llm.pieces import encode_pieces
 from voxtally.llm.resampling import resample
+from voxtally.llm.runs import periodic_runs
 from voxtally.llm.secrets import fit_network, scan_secrets
 from voxtally.llm.sharding import shard_by_bytes
 from voxtally.llm.simhash import simhash_components
@@ -65,6 +69,66 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_components(_table(spark, folder, "documents"))
 
 
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, text); the words of one text in ten repeat from some word on.
+
+    h is the CRC-32 of the decimal id. If it is divisible by ten, the n words of the text
+    repeat from word a = g % n on with period 1 + (n - a) / (3 + g % 8), where g = h / 10,
+    all in whole numbers.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    # Out of a generator, so that the text is not split again for every word.
+    staged = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        "text",
+        F.floor(h / 10).alias("g"),
+        F.explode(F.array(F.when(h % 10 == 0, words))).alias("words"),
+    )
+    n = F.size("words")
+    a = F.col("g") % n
+    placed = staged.withColumn("a", F.when(n > 0, a))
+    placed = placed.withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    at = lambda i: (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")
+    tailed = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", at(i))))
+    return placed.select(
+        "doc_id", F.when(F.col("a").isNotNull(), F.array_join(tailed, " ")).otherwise(F.col("text")).alias("text")
+    )
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs(with_periodic_tails(_table(spark, folder, "documents")))
+    none = F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>")
+    # Runs are in the order that decides ties.
+    higher = lambda r, best: r["length"] * best["period"] > best["length"] * r["period"]
+    best = F.aggregate("runs", none, lambda best, r: F.when(best.isNull() | higher(r, best), r).otherwise(best))
+    line = lambda r: F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    found = found.select("doc_id", "n_words", "runs", "collapsed_text", F.explode(F.array(best)).alias("best"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_piece_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return encode_pieces(_table(spark, folder, "documents"), path, with_pieces=False)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -78,6 +142,9 @@ QUERIES = {
         op8_warc,
         op9_best_fit_packing,
         op10_simhash,
+        op11_periodic_runs,
+        op12_hard_negatives,
+        op13_piece_bpe,
     )
 }
 
@@ -144,5 +211,32 @@ SELECT page_id, octet_length(encode(payload))::BIGINT AS payload_bytes,
   CASE WHEN page_id = first_page THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first_page THEN first_page END AS refers_to
 FROM t JOIN f USING (payload)
+""",
+    "op12_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+    CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE a.vec_id % 100 = 0
+),
+p AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+),
+n AS (
+  SELECT anchor_id, positive_id, other AS negative_id, positive_score, score AS negative_score,
+    row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS rank
+  FROM p JOIN s USING (anchor_id)
+  WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM n WHERE rank <= 5
 """,
 }
