@@ -11,7 +11,8 @@ from voxtally.operators import groups as G
 from voxtally.operators import requests as R
 from voxtally.operators import results as S
 from voxtally.operators import tables as M
-from voxtally.plans.bindings import WATCH, sql_case
+from voxtally.operators.lifecycle import LEGAL_NEXT, LifeCycle
+from voxtally.plans.bindings import STATUS_OF_EVENT, WATCH, sql_case
 from voxtally.plans.registry import query
 from voxtally.schemas import FINAL_RESULTS, REQUESTS, REVIEW_QUEUE
 
@@ -29,6 +30,47 @@ def current_status(t):
     return R.current_status(t.life_cycle())
 
 
+_LEGAL = ", ".join(f"('{a}', '{b}')" for a, nexts in LEGAL_NEXT.items() for b in nexts)
+# Every event in turn, with the state before it and the one it leads to.
+_LIFE = f"""
+    WITH RECURSIVE e AS (
+        SELECT user_id AS req_id, event_id, {sql_case("event_type", STATUS_OF_EVENT)} AS status,
+               row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r
+        FROM events),
+    legal(before, after) AS (VALUES {_LEGAL}),
+    life AS (
+        SELECT req_id, event_id, r, CAST(NULL AS VARCHAR) AS before, status,
+               CASE WHEN status = 'NEW' THEN status END AS state
+        FROM e WHERE r = 1
+        UNION ALL
+        SELECT e.req_id, e.event_id, e.r, life.state, e.status,
+               CASE WHEN (life.state IS NULL AND e.status = 'NEW') OR e.status = life.state
+                         OR EXISTS (SELECT 1 FROM legal WHERE before = life.state AND after = e.status)
+                    THEN e.status ELSE life.state END
+        FROM life JOIN e ON e.req_id = life.req_id AND e.r = life.r + 1)"""
+
+
+@query(
+    "illegal_transitions",
+    f"""{_LIFE}
+    SELECT req_id, event_id, before AS state_before, status AS state_asked
+    FROM life WHERE state IS DISTINCT FROM status""",
+)
+def illegal_transitions(t):
+    return LifeCycle(t.life_cycle()).violations()
+
+
+@query(
+    "legal_status",
+    f"""{_LIFE}
+    SELECT req_id, max_by(state, r) AS status FROM (
+        SELECT req_id, r, coalesce(state, '') AS state FROM life)
+    GROUP BY req_id""",
+)
+def legal_status(t):
+    return LifeCycle(t.life_cycle()).states().withColumn("status", F.coalesce("status", F.lit("")))
+
+
 @query(
     "oldest_pending",
     f"""SELECT req_id, video_url, {_sql_shown("created_at")} AS created_at FROM submissions
