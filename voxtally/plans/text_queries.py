@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voxtally.functions import text as T
 from voxtally.functions.charsets import NWS, WORD
 from voxtally.functions.urls import extract_video_id, is_video_url
+from voxtally.operators.chains import linked_pages
 from voxtally.operators.comments import flatten_comment_pages
 from voxtally.operators.labels import drop_blank_text
 from voxtally.operators.profile import drop_legacy_rows
@@ -242,3 +244,36 @@ def comment_pages_flattened(t):
     body = F.to_json(F.struct(F.transform("parts", item).alias("items")))
     pages = sentences.select("video_id", "page", body.alias("body"))
     return flatten_comment_pages(pages, max_per_video=40)
+
+
+@query(
+    "pages_linked_by_token",
+    """
+    WITH numbered AS (
+        SELECT conv_id AS video_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k,
+               count(*) OVER (PARTITION BY conv_id) AS n
+        FROM conversations)
+    SELECT video_id, turn,
+           CAST(CASE WHEN video_id % 10 = 4 THEN NULL WHEN video_id % 10 = 3 AND k > 1 THEN k - 2 ELSE k END
+                AS INTEGER) AS page,
+           CASE WHEN video_id % 10 = 4 THEN 'LOOP' WHEN video_id % 10 = 3 AND k > 1 THEN 'BROKEN'
+                ELSE 'LINKED' END AS page_state
+    FROM numbered""",
+)
+def pages_in_order_of_tokens(t):
+    # Every turn is a page; what one names is the token of the next. Some chains are cut behind
+    # their second page, some are closed to a circle.
+    turns = t.given("conversations").select(F.col("conv_id").alias("video_id"), "turn")
+    order = Window.partitionBy("video_id").orderBy("turn")
+    token = lambda turn: F.md5(F.concat_ws("-", "video_id", turn))
+    first = token(F.min("turn").over(Window.partitionBy("video_id")))
+    k, kind = F.row_number().over(order) - 1, F.col("video_id") % 10
+    following = F.lead("turn").over(order)
+    names = F.when(following.isNotNull(), token(following)).when(kind == 4, first)
+    pages = turns.select(
+        "video_id",
+        "turn",
+        F.when((k > 0) | (kind == 4), token(F.col("turn"))).alias("page_token"),
+        F.when((kind == 3) & (k == 1), F.lit("lost")).otherwise(names).alias("next_token"),
+    )
+    return linked_pages(pages).select("video_id", "turn", "page", "page_state")
