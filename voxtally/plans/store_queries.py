@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from voxtally.operators import tables as M
 from voxtally.operators.comments import accepted, preprocess
+from voxtally.operators.results import label_shares
 from voxtally.plans.bindings import ACCENTS, LATIN, MIN_RATIO
 from voxtally.plans.registry import query
 from voxtally.session import shared_folder
 from voxtally.sources.files import read_labeled_csv, write_csv
 from voxtally.streaming import incremental as I
+from voxtally.streaming import state as S
+from voxtally.streaming.batches import BatchStore
 
 
 # Changes ----------------------------------------------------------------------
@@ -176,11 +180,12 @@ def _stream(t, name: str):
     return I.read_stream(t.spark, path, t.given(name).schema)
 
 
-def _comments(stream):
+def _comments(stream, *more: str):
     return stream.select(
         F.col("doc_id").cast("string").alias("comment_id"),
         F.substr("source", F.lit(4)).cast("int").alias("req_id"),
         F.col("text").alias("text_display"),
+        *more,
     )
 
 
@@ -191,7 +196,9 @@ def _comments(stream):
 )
 def preprocessed_incrementally(t):
     def stage(batch):
-        return preprocess(_comments(batch), ranges=ACCENTS, keep=LATIN, min_ratio=MIN_RATIO)
+        rows = preprocess(_comments(batch), ranges=ACCENTS, keep=LATIN, min_ratio=MIN_RATIO)
+        # Rejected rows count as seen, but what was read of them is not needed again.
+        return rows.select("comment_id", "req_id", "text_unicode", "reject_reason")
 
     sink = shared_folder(t.spark, "preprocessed")
     I.run_incremental(_stream(t, "documents"), stage, sink, shared_folder(t.spark, "progress"))
@@ -230,3 +237,104 @@ def labels_counted_in_stream(t):
     I.run_label_counts(labelled, by, sink, shared_folder(t.spark, "progress"))
     return I.read_label_counts(t.spark, by, sink)
 
+
+# Stores that are read while they grow ---------------------------------------------
+def _arrivals(t, rows, purpose: str):
+    """Lands the rows by their column ``arrival``, one after another, and yields the stream of what has landed.
+
+    The rows are computed once.
+    """
+    staged, landing = shared_folder(t.spark, f"{purpose}-staged"), shared_folder(t.spark, f"{purpose}-landed")
+    rows.write.partitionBy("arrival").parquet(staged)
+    schema = rows.drop("arrival").schema
+    arrivals = sorted(r[0] for r in t.spark.read.parquet(staged).select("arrival").distinct().collect())
+    for arrival in arrivals:
+        t.spark.read.schema(schema).parquet(f"{staged}/arrival={arrival}").write.mode("append").parquet(landing)
+        yield I.read_stream(t.spark, landing, schema)
+
+
+@query(
+    "snapshot_and_newer_batches",
+    "SELECT comment_id, req_id, text_unicode FROM preprocessed_comments",
+    ["preprocessed_comments"],
+)
+def preprocessed_in_snapshots(t):
+    # A comment comes as an empty draft, then as it is, and then once more as an old version
+    # in capitals, in three of four batches; the draft and the old version must not win.
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(4)).cast("int")
+    versions = F.explode(F.array(F.lit(0), F.lit(2), F.lit(1))).alias("version")
+    rows = t.documents.select("doc_id", "source", "text", part.alias("part"), versions)
+    moved = F.when(F.col("version") == 0, -1).when(F.col("version") == 1, 1).otherwise(0)
+    text = F.when(F.col("version") == 2, F.col("text")).when(F.col("version") == 1, F.upper("text"))
+    rows = rows.select("doc_id", "source", text.alias("text"), "version", (F.col("part") + moved).alias("arrival"))
+    rows = rows.filter("arrival between 0 and 3")
+
+    def stage(batch):
+        made = preprocess(_comments(batch, "version"), ranges=ACCENTS, keep=LATIN, min_ratio=MIN_RATIO)
+        return made.select("comment_id", "req_id", "text_unicode", "reject_reason", "version")
+
+    schema = "comment_id string, req_id int, text_unicode string, reject_reason string, version int"
+    store = BatchStore(
+        t.spark, shared_folder(t.spark, "snapshots"), StructType.fromDDL(schema), ["comment_id"], ["version"], buckets=8
+    )
+    for number, stream in enumerate(_arrivals(t, rows, "comments")):
+        store.run(stream, stage)
+        if number in (1, 2):
+            store.fold()
+    return accepted(store.read()).select("comment_id", "req_id", "text_unicode")
+
+
+@query(
+    "first_events_of_stream",
+    """SELECT user_id, event_type, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM (
+           SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events)
+       WHERE r = 1""",
+)
+def first_events(t):
+    # The events of afternoons arrive first, then all of them, most of these late, and then all again.
+    late = F.when(F.hour("ts") >= 12, F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1), F.lit(2)))
+    rows = t.events.select("user_id", "event_type", "event_id", "ts", F.explode(late).alias("arrival"))
+    sink, progress = shared_folder(t.spark, "firsts"), shared_folder(t.spark, "progress")
+    key, order = ["user_id", "event_type"], ["ts", "event_id"]
+    for stream in _arrivals(t, rows, "events"):
+        S.work_off(S.first_of_key(stream, key, order), sink, progress)
+    first = I.read_first(t.spark, sink, key, order)
+    return first.select(*key, "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
+@query(
+    "label_counts_after_changes",
+    """
+    WITH kept AS (
+        SELECT c.req_id, CASE WHEN d.n_chars >= 1500 THEN 'long' ELSE d.lang END AS label
+        FROM documents d JOIN raw_comments c ON c.comment_id = CAST(d.doc_id AS VARCHAR)
+        WHERE c.req_id NOT IN (SELECT req_id FROM requests WHERE status = 'FAILED')),
+    counted AS (SELECT req_id, label, count(*) AS n FROM kept GROUP BY ALL)
+    SELECT req_id, label, n, CAST(round(n * 100.0 / sum(n) OVER (PARTITION BY req_id), 1) AS DOUBLE) AS percentage
+    FROM counted""",
+    ["raw_comments", "requests"],
+)
+def labels_after_changes(t):
+    # All comments are labelled, then long ones get another label, and those of failed requests
+    # are deleted in cascade, while the first labels arrive once more.
+    docs = t.documents.select(
+        "doc_id", F.substr("source", F.lit(4)).cast("int").alias("req_id"), "lang", (F.col("n_chars") >= 1500).alias("long")
+    )
+    failed = t.requests.filter("status = 'FAILED'").select("req_id", F.lit(True).alias("gone"))
+    docs = docs.join(failed, "req_id", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    change = lambda arrival, version, label, deleted: F.struct(
+        F.lit(arrival).alias("arrival"), F.lit(version).alias("version"), label.alias("label"), F.lit(deleted).alias("deleted")
+    )
+    steps = F.array(
+        change(0, 0, F.col("lang"), False),
+        F.when(F.col("long"), change(1, 1, F.lit("long"), False)),
+        F.when(F.col("gone"), change(2, 2, F.lit(None).cast("string"), True)),
+        change(2, 0, F.col("lang"), False),
+    )
+    rows = docs.select("doc_id", "req_id", F.explode(steps).alias("c")).filter("c is not null")
+    counts = S.RunningCounts(t.spark, shared_folder(t.spark, "counts"), ["req_id", "label"])
+    for number, stream in enumerate(_arrivals(t, rows.select("doc_id", "req_id", "c.*"), "changes")):
+        counts.run(stream, ["doc_id"])
+        if number == 1:
+            counts.fold()
+    return label_shares(counts.read())
