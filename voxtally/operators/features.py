@@ -7,14 +7,13 @@ from collections.abc import Mapping
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxtally.functions.labels import CLASS_WEIGHTS, lookup
 from voxtally.functions.text import tokenize
-from voxtally.operators.sides import bounded_broadcast, is_small
+from voxtally.operators.sides import bounded_broadcast, fetched_rows, written
 
 # Fixed values -----------------------------------------------------------------
 PAD_ID = 0
@@ -76,13 +75,10 @@ def encode_fixed_length(
     """
     tokens = F.slice(F.coalesce(tokenize(text), F.array().cast("array<string>")), 1, max_length)
     cut = df.select(key, tokens.alias("_words"))
-    vocab = vocab.select("word", "word_id").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        known = vocab.toArrow() if is_small(vocab) else None
-    finally:
-        vocab.unpersist()
+    vocab = vocab.select("word", "word_id")
+    known = fetched_rows(vocab)
     if known is None:
-        return _encoded_by_join(cut, vocab, key, max_length)
+        return _encoded_by_join(cut, written(vocab, "vocabulary"), key, max_length)
     whole = T.ArrayType(T.IntegerType(), False)
     schema = T.StructType([df.schema[key], T.StructField("input_ids", whole), T.StructField("attention_mask", whole)])
     return cut.mapInArrow(_encoder(known, key, max_length), schema)

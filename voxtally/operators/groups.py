@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxtally.functions.keys import content_key, seeded_order
-from voxtally.operators.sides import bounded_broadcast
+from voxtally.operators.sides import bounded_broadcast, settled
 
 # Hexadecimal digits of a digest that form a range: 65,536 ranges per group.
 RANGE_DIGITS = 4
@@ -49,10 +49,12 @@ def latest_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> D
     """One row per key, the one that is last by ``order``.
 
     An aggregation and not a window: rows of one key are already reduced to one
-    per map task before the shuffle.
+    per map task before the shuffle. Of rows that agree on ``order``, the one with the
+    larger digest of its values stays, so every run keeps the same one.
     """
     rest = [c for c in df.columns if c not in key]
-    kept = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
+    tie = [content_key(c, schema=df.schema) for c in rest if c not in order]
+    kept = F.max_by(F.struct(*rest), F.struct(*order, *tie)).alias("_row")
     return df.groupBy(*key).agg(kept).select(*key, "_row.*").select(*df.columns)
 
 
@@ -98,7 +100,7 @@ def _cuts(
     hit = counts.filter(
         (F.col("_upto") >= F.col("_take")) & (F.col("_upto") - F.col("_n") < F.col("_take"))
     ).select(*by, "_range", (F.col("_take") - F.col("_upto") + F.col("_n")).alias("_nth"))
-    inside = keyed.join(bounded_broadcast(hit), [*by, "_range"])
+    inside = keyed.join(settled(hit, "cut-ranges"), [*by, "_range"])
     ranked = inside.withColumn("_rank", F.row_number().over(group.orderBy("_o")))
     return ranked.filter(F.col("_rank") == F.col("_nth")).select(*by, F.col("_o").alias("_cut"))
 

@@ -15,7 +15,7 @@ from voxtally.operators.comments import fetched_for_export
 from voxtally.operators.groups import assign_ids, latest_per_key
 from voxtally.operators.requests import transition
 from voxtally.operators.results import add_blank_label
-from voxtally.operators.sides import bounded_broadcast
+from voxtally.operators.sides import bounded_broadcast, fetched_rows, settled
 from voxtally.schemas import TABLES, Table
 
 
@@ -34,8 +34,9 @@ def upsert(
     meets them in a shuffle.
     """
     fresh = latest_per_key(delta, key, latest_by).withColumn("_new", F.lit(True))
-    small = bounded_broadcast(fresh)
-    if small is not fresh:
+    small = fetched_rows(fresh)
+    if small is not None:
+        small = F.broadcast(old.sparkSession.createDataFrame(small, fresh.schema))
         return _upsert_in_place(old, small, key, update_cols)
     joined = old.withColumn("_old", F.lit(True)).alias("o").join(
         fresh.alias("n"), list(key), "full_outer"
@@ -104,18 +105,16 @@ def replace_group(old: DataFrame, delta: DataFrame, requests: DataFrame) -> Data
     """Swap the comments of re-fetched videos for the new ones.
 
     A stored comment goes if the delta brings its video for the same address,
-    whichever request it was stored under. Addresses are looked up for key
-    columns of affected videos only; texts take part in the last join alone.
+    whichever request it was stored under. So what is replaced are (video, request)
+    pairs: those of the delta, spread to all requests of the same address. They are
+    settled once, from the few columns that tell them, and the stored rows are then
+    read a single time.
     """
-    urls = bounded_broadcast(requests.select("req_id", "video_url"))
-    scope = delta.select("video_id", "req_id").distinct().join(urls, "req_id")
-    scope = bounded_broadcast(scope.select("video_id", "video_url").distinct())
-    affected = old.select("comment_id", "video_id", "req_id").join(
-        scope.select("video_id").distinct(), "video_id", "left_semi"
-    )
-    doomed = affected.join(urls, "req_id").join(scope, ["video_id", "video_url"], "left_semi")
-    doomed = bounded_broadcast(doomed.select("comment_id"))
-    kept = old.join(doomed, "comment_id", "left_anti")
+    touched = settled(delta.select("video_id", "req_id").distinct(), "touched")
+    urls = settled(requests.select("req_id", "video_url"), "addresses")
+    scope = touched.join(urls, "req_id").select("video_id", "video_url").distinct()
+    pairs = scope.join(urls, "video_url").select("video_id", "req_id").distinct()
+    kept = old.join(bounded_broadcast(pairs), ["video_id", "req_id"], "left_anti").select(*old.columns)
     return kept.unionByName(delta.select(*kept.columns))
 
 
