@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from voxtally.functions import labels as L
 from voxtally.operators import labels as ops
+from voxtally.sources import files
 
 
 def column(spark, rows, expr):
@@ -76,3 +77,17 @@ def test_confidence_rules(spark):
 def test_verdicts(spark):
     got = column(spark, ["0.85", "0.75", "0.65", "0.1", None], L.accuracy_verdict(F.col("c").cast("double")))
     assert got == ["EXCELLENT", "GOOD", "ACCEPTABLE", "NEEDS MORE WORK", None]
+
+
+def test_the_last_entry_of_an_annotation_file_wins(spark, tmp_path):
+    for name, lines in (("a.csv", ["joy,first", '"two\nlines",x', "joy,second"]), ("b.csv", ["sad,s", "joy,third", "sad,t"])):
+        (tmp_path / name).write_text("\n".join(["sentiment,class", *lines]) + "\n")
+    mapping = files.read_annotations(spark, str(tmp_path))
+    df = spark.createDataFrame([(1, "joy"), (2, "sad"), (3, "two\nlines"), (4, "odd")], "id int, s string")
+    got = ops.lookup_label(df, "s", mapping, position="position")
+    assert {r.id: r.emotion_class for r in got.collect()} == {1: "third", 2: "t", 3: "x", 4: None}
+    with pytest.raises(ValueError, match="no position"):
+        ops.lookup_label(df, "s", mapping.drop("position"))
+    # Entries that only say the same again are no trouble.
+    same = spark.createDataFrame([("joy", "a"), ("joy ", "a")], "sentiment string, class string")
+    assert ops.lookup_label(df, "s", same).filter("emotion_class = 'a'").count() == 1

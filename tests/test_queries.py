@@ -14,6 +14,10 @@ EAGER = {"train_classifier", "csv_round_trip"} | {
     "incremental_preprocess",
     "deduplicated_stream",
     "streaming_label_counts",
+    "snapshot_and_newer_batches",
+    "first_events_of_stream",
+    "label_counts_after_changes",
+    "training_epochs",
 }
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxtally.functions import text as T
@@ -15,7 +15,6 @@ from voxtally.operators.sides import bounded_broadcast
 from voxtally.schemas import COMMENT_PAGE_DDL
 
 # Fixed values -----------------------------------------------------------------
-MAX_COMMENTS_PER_VIDEO = 500
 PROCESSED_BY = "base_model"
 REJECT_NULL, REJECT_SCRIPT, REJECT_SHORT = "NULL_TEXT", "NOT_SCRIPT", "TOO_SHORT"
 # ------------------------------------------------------------------------------
@@ -90,6 +89,16 @@ def accepted(df: DataFrame) -> DataFrame:
     return df.filter(F.col("reject_reason").isNull())
 
 
+def preprocessed_rows(df: DataFrame, by: str = PROCESSED_BY, at: Column | None = None) -> DataFrame:
+    """Accepted rows of :func:`preprocess` with who made them and when (now, if that is not given).
+
+    With ``tables.as_rows_of`` they are rows of the table of preprocessed comments.
+    """
+    at = F.current_timestamp() if at is None else at
+    made = accepted(df).withColumn("processed_by", F.lit(by))
+    return made.withColumn("processed_at", at.cast("timestamp_ntz"))
+
+
 def unprocessed(source: DataFrame, done: DataFrame, key: str = "comment_id") -> DataFrame:
     """Rows whose key the finished table does not have yet.
 

@@ -86,14 +86,19 @@ def lookup_label(
 ) -> DataFrame:
     """Map a raw label to its class through an annotation table.
 
-    Keys are compared stripped. A key listed several times counts once: with the
-    class of its last entry by ``position``, or with the largest class if the
-    table has no such column. The table is sent to every task after a count has
-    shown that it is small; a larger one is joined by shuffling, where labels with
-    very many rows are split.
+    Keys are compared stripped. A key listed several times counts once, with the
+    class of its last entry by ``position``, which ``read_annotations`` gives. Without a
+    position no entry is the last one: a key with different classes is then an error. The
+    table is sent to every task after it has been found to be small; a larger one is joined
+    by shuffling, where labels with very many rows are split.
     """
     last = F.max_by(target, position) if position else F.max(target)
-    unique = mapping.groupBy(strip(source).alias("_key")).agg(last.alias(name))
+    unique = mapping.groupBy(strip(source).alias("_key")).agg(last.alias(name), F.count_distinct(target).alias("_classes"))
+    if position is None:
+        unclear = unique.filter("_classes > 1").select("_key").limit(5).collect()
+        if unclear:
+            raise ValueError(f"different classes and no position: {[r['_key'] for r in unclear]}")
+    unique = unique.drop("_classes")
     keyed = df.withColumn("_key", strip(column))
     joined = keyed.join(bounded_broadcast(unique), "_key", "left").drop("_key")
     if default is None:

@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from voxtally.operators import tables as M
-from voxtally.operators.comments import accepted, preprocess
+from voxtally.operators.comments import accepted, preprocess, preprocessed_rows
+from voxtally.operators.labels import lookup_label
+from voxtally.operators.membership import KeyStore
 from voxtally.operators.results import label_shares
 from voxtally.plans.bindings import ACCENTS, LATIN, MIN_RATIO
 from voxtally.plans.registry import query
+from voxtally.schemas import PREPROCESSED_COMMENTS
 from voxtally.session import shared_folder
-from voxtally.sources.files import read_labeled_csv, write_csv
+from voxtally.sources.files import read_annotations, read_labeled_csv, write_csv
 from voxtally.streaming import incremental as I
 from voxtally.streaming import state as S
 from voxtally.streaming.batches import BatchStore
@@ -338,3 +341,53 @@ def labels_after_changes(t):
         if number == 1:
             counts.fold()
     return label_shares(counts.read())
+
+
+@query(
+    "unprocessed_with_filter",
+    """SELECT comment_id, req_id FROM raw_comments
+       WHERE comment_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)""",
+    ["raw_comments"],
+)
+def unprocessed_with_filter(t):
+    # Finished comments come in three batches, two of which are folded.
+    store = KeyStore(t.spark, shared_folder(t.spark, "finished"), buckets=16, words=1 << 10)
+    done = t.given("labels").select(F.col("doc_id").cast("string").alias("comment_id"))
+    part = F.pmod(F.xxhash64("comment_id"), F.lit(3))
+    for number in range(3):
+        store.add(done.filter(part == number), number)
+        if number == 1:
+            store.fold()
+    return store.unprocessed(t.raw_comments).select("comment_id", "req_id")
+
+
+@query(
+    "preprocessed_table_rows",
+    """SELECT comment_id, req_id, text_unicode, array_to_string(tokens, ' ') AS tokens, 'base_model' AS processed_by,
+              '2024-06-01 12:00:00' AS processed_at
+       FROM preprocessed_comments""",
+    ["preprocessed_comments"],
+)
+def preprocessed_as_table(t):
+    at = F.lit("2024-06-01 12:00:00").cast("timestamp_ntz")
+    rows = M.as_rows_of(PREPROCESSED_COMMENTS, preprocessed_rows(t.all_preprocessed, at=at), ["comment_id"], at=at)
+    shown = F.date_format("processed_at", "yyyy-MM-dd HH:mm:ss")
+    return rows.withColumns({"tokens": F.array_join("tokens", " "), "processed_at": shown})
+
+
+@query(
+    "lookup_label_of_file",
+    """WITH last AS (
+           SELECT role AS sentiment, arg_max(CAST(conv_id AS VARCHAR), conv_id * 1000 + turn) AS class
+           FROM conversations GROUP BY role)
+       SELECT c.conv_id, c.turn, l.class AS emotion_class
+       FROM conversations c LEFT JOIN last l ON c.role = l.sentiment""",
+)
+def label_looked_up_in_file(t):
+    # An annotation file in several parts that lists its keys again and again.
+    turns = t.given("conversations")
+    listed = turns.repartitionByRange(3, "conv_id", "turn").sortWithinPartitions("conv_id", "turn")
+    path = shared_folder(t.spark, "annotations")
+    write_csv(listed.select(F.col("role").alias("sentiment"), F.col("conv_id").alias("class")), path)
+    mapping = read_annotations(t.spark, path)
+    return lookup_label(turns.select("conv_id", "turn", "role"), "role", mapping, position="position").drop("role")

@@ -6,6 +6,7 @@ from collections.abc import Mapping
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from voxtally.functions.labels import parse_id2label
@@ -35,6 +36,17 @@ def read_labeled_csv(
     return (reader if schema is None else reader.schema(schema)).csv(path)
 
 
+def read_annotations(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+    """As :func:`read_labeled_csv`, with ``position``: file name and place in the file.
+
+    Files are not split here, so places follow the lines, and ``lookup_label`` can let the
+    last entry of a key win. Entries of the file whose name is last count as later.
+    """
+    rows = read_labeled_csv(spark, path, schema, multi_line=True)
+    place = F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"))
+    return rows.withColumn("position", place)
+
+
 def write_csv(
     df: DataFrame,
     path: str,
