@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from voxtally.functions.labels import CLASS_WEIGHTS, lookup
 from voxtally.functions.text import tokenize
+from voxtally.operators.frequent import CAPACITY, most_frequent
 from voxtally.operators.sides import bounded_broadcast, fetched_rows, written
 
 # Fixed values -----------------------------------------------------------------
@@ -59,6 +60,19 @@ def vocabulary(df: DataFrame, text: str = "text", size: int = VOCABULARY_SIZE) -
     return frequent.select("word", (rank + (FIRST_WORD_ID - 1)).alias("word_id"))
 
 
+def vocabulary_by_summaries(
+    df: DataFrame, text: str = "text", size: int = VOCABULARY_SIZE, capacity: int = CAPACITY
+) -> DataFrame:
+    """The rows of :func:`vocabulary` for texts with very many different words.
+
+    Only summaries of ``capacity`` words per map task and the counts of candidates are shuffled.
+    """
+    words = df.select(F.explode(tokenize(text)).alias("word"))
+    frequent = most_frequent(words, "word", size, capacity)
+    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("n").desc(), "word"))
+    return frequent.select("word", (rank + (FIRST_WORD_ID - 1)).alias("word_id"))
+
+
 def encode_fixed_length(
     df: DataFrame,
     vocab: DataFrame,

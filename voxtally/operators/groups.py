@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxtally.functions.keys import content_key, seeded_order
-from voxtally.operators.sides import bounded_broadcast, settled
+from voxtally.operators.sides import bounded_broadcast, fetched_rows, settled, written
 
 # Hexadecimal digits of a digest that form a range: 65,536 ranges per group.
 RANGE_DIGITS = 4
@@ -63,21 +63,38 @@ def first_of_group(df: DataFrame, subset: Sequence[str], key: str) -> DataFrame:
     return df.groupBy(content_key(*subset, schema=df.schema).alias("_content")).agg(F.min(key).alias(key)).select(key)
 
 
+def _repeated(df: DataFrame, subset: Sequence[str], key: str) -> DataFrame | None:
+    """Groups of more than one row with their smallest key, to broadcast; None if they are many."""
+    content = content_key(*subset, schema=df.schema).alias("_content")
+    groups = df.groupBy(content).agg(F.min(key).alias("_first"), F.count("*").alias("_n"))
+    found = fetched_rows(groups.filter("_n > 1").select("_content", "_first"))
+    if found is None:
+        return None
+    return F.broadcast(df.sparkSession.createDataFrame(found))
+
+
 def flag_repeats(
     df: DataFrame, subset: Sequence[str], key: str, name: str = "is_duplicate"
 ) -> DataFrame:
     """Mark the rows that repeat an earlier one, in the order of a unique key.
 
-    The first rows are found by aggregation and joined back on the unique key,
-    so a text that a third of the rows share is never gathered anywhere.
+    Groups of more than one row are found by aggregation. If they are few they go to the
+    rows, which stay where they are. Else the first rows are joined on the unique
+    key; either way, a text that a third of the rows share is never gathered anywhere.
     """
+    repeated = _repeated(df, subset, key)
+    if repeated is not None:
+        keyed = df.withColumn("_content", content_key(*subset, schema=df.schema))
+        joined = keyed.join(repeated, "_content", "left")
+        later = F.coalesce(F.col(key) != F.col("_first"), F.lit(False))
+        return joined.select(*df.columns, later.alias(name))
     first = first_of_group(df, subset, key).withColumn("_first", F.lit(True))
     return df.join(first, key, "left").withColumn(name, F.col("_first").isNull()).drop("_first")
 
 
 def drop_repeats(df: DataFrame, subset: Sequence[str], key: str) -> DataFrame:
     """Only the first row of each group of repeats."""
-    return df.join(first_of_group(df, subset, key), key, "left_semi")
+    return flag_repeats(df, subset, key, "_repeats").filter(~F.col("_repeats")).drop("_repeats")
 
 
 def _order_key(key: str, seed: int) -> Column:
@@ -162,6 +179,31 @@ def assign_ids(
     return numbered.withColumn(name, ids).drop("_o", "_range", "_local", "_offset")
 
 
+def assign_ids_in_order(
+    df: DataFrame, order: Sequence[str], key: str, name: str = "id", start: int | Column = 0
+) -> DataFrame:
+    """Dense ids after ``start`` that follow ``order``, as a sequence would; ties go by the unique key.
+
+    The rows are dealt into ranges of the order, whose limits come from a sample, sorted
+    inside each and written once with their place. A range is then moved up by the
+    counts of the ranges before it, which are as many rows as there were tasks. NULLs are
+    first in the order.
+    """
+    by = [*order, key]
+    # The place: number of the range in the upper half, position in the range in the lower one.
+    dealt = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    placed = written(dealt.withColumn("_place", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftrightunsigned("_place", 33)
+    counts = placed.groupBy(part.alias("_range")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    numbered = placed.withColumn("_range", part).join(bounded_broadcast(offsets), "_range")
+    inside = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    start = start if isinstance(start, Column) else F.lit(start)
+    ids = (start + F.col("_offset") + inside + 1).cast("long")
+    return numbered.select(*df.columns, ids.alias(name))
+
+
 def next_id_start(df: DataFrame, id_column: str) -> int:
     """Largest id in use, 0 for an empty table."""
     return df.agg(F.coalesce(F.max(id_column), F.lit(0)).cast("long")).first()[0]

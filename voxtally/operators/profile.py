@@ -10,6 +10,8 @@ from pyspark.sql.types import DoubleType, FloatType, StringType
 
 from voxtally.functions.keys import compact, content_key
 from voxtally.functions.text import is_legacy_encoded, tokenize
+from voxtally.operators.frequent import CAPACITY, most_frequent
+from voxtally.operators.quantiles import exact_quantiles
 
 
 def _long(df: DataFrame, columns: Sequence[str], name: str, value: str) -> DataFrame:
@@ -109,3 +111,21 @@ def text_length_profile(df: DataFrame, by: Sequence[str], text: str = "text") ->
         for label, fn in (("min", F.min), ("avg", F.avg), ("max", F.max))
     ]
     return measured.groupBy(*by).agg(F.count("*").alias("n"), *aggs)
+
+
+def text_length_quartiles(df: DataFrame, by: Sequence[str], text: str = "text") -> DataFrame:
+    """Exact quartiles of the lengths in characters and words per group, one row each."""
+    stats = {"chars": "text_length_chars", "words": "text_length_words"}
+    measured = with_text_lengths(df.select(*by, text), text)
+    found = exact_quantiles(measured, by, list(stats.values()), (0.25, 0.5, 0.75))
+    names = {f"q{round(s * 100)}_{n}": (c, s) for n, c in stats.items() for s in (0.25, 0.5, 0.75)}
+    one = lambda c, s: F.max(F.when((F.col("column") == c) & (F.col("share") == s), F.col("value")))
+    return found.groupBy(*by).agg(*(one(c, s).alias(name) for name, (c, s) in names.items()))
+
+
+def value_counts_by_summaries(df: DataFrame, column: str, top: int, capacity: int = CAPACITY) -> DataFrame:
+    """The rows of :func:`value_counts` with ``top``, for a column with very many values."""
+    counts = most_frequent(df, column, top, capacity)
+    total = df.agg(F.count(column)).scalar()
+    shares = counts.withColumn("percentage", F.col("n") * F.lit(100.0) / total)
+    return shares.orderBy(F.col("n").desc(), column)

@@ -13,6 +13,7 @@ from voxtally.operators import features as E
 from voxtally.operators import groups as G
 from voxtally.operators.results import label_shares
 from voxtally.operators.scoring import attach_predictions, score_batches, score_linear
+from voxtally.operators.descent import fit_by_epochs, gradient, sparse_rows
 from voxtally.operators.training import split_support, train_classifier
 from voxtally.plans.bindings import sql_tokens
 from voxtally.plans.registry import query
@@ -64,6 +65,16 @@ def ids_assigned(t):
     return G.assign_ids(t.documents.select("doc_id"), "doc_id", "id", start=1000)
 
 
+@query(
+    "assign_ids_in_order",
+    """SELECT req_id, 100 + row_number() OVER (ORDER BY created_at, req_id) AS id FROM submissions""",
+    ["submissions"],
+)
+def ids_assigned_in_order(t):
+    asked = t.submissions.select("req_id", "created_at")
+    return G.assign_ids_in_order(asked, ["created_at"], "req_id", start=100).drop("created_at")
+
+
 @query(
     "index_labels",
     "SELECT doc_id, label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS label_id FROM labelled",
@@ -95,6 +106,11 @@ def words_ranked(t):
     return E.vocabulary(t.texts, "text", 5000)
 
 
+@query("vocabulary_by_summaries", _VOCABULARY)
+def words_ranked_by_summaries(t):
+    return E.vocabulary_by_summaries(t.texts, "text", 5000, capacity=20_000)
+
+
 @query(
     "encode_fixed_length",
     f"""
@@ -231,6 +247,51 @@ def classifier_trained(t):
     )
 
 
+EPOCH_FEATURES = 1 << 12
+
+
+@query(
+    "first_epoch_gradient",
+    f"""
+    WITH rows AS (
+        SELECT doc_id, dense_rank() OVER (ORDER BY label) - 1 AS y, {sql_tokens("text")} AS words,
+               CASE label WHEN 'neutral' THEN 1.33::DOUBLE ELSE 0.89::DOUBLE END AS weight
+        FROM labelled),
+    entries AS (
+        SELECT doc_id, y, weight, len(words) AS n,
+               ('0x' || substr(md5(unnest(words)), 1, 8))::BIGINT % {EPOCH_FEATURES} AS feature
+        FROM rows),
+    classes AS (SELECT DISTINCT y AS label_id FROM rows),
+    sums AS (
+        SELECT label_id, feature,
+               sum(weight * (1.0::DOUBLE / (SELECT count(*) FROM classes) - (y = label_id)::INTEGER) / sqrt(n)) AS s
+        FROM entries, classes GROUP BY label_id, feature)
+    SELECT CAST(label_id AS INTEGER) AS label_id, CAST(f.feature AS INTEGER) AS feature,
+           round(coalesce(s, 0) / (SELECT sum(weight) FROM rows), 9) + 0.0 AS gradient
+    FROM classes CROSS JOIN (SELECT unnest(range({EPOCH_FEATURES})) AS feature) f LEFT JOIN sums USING (label_id, feature)""",
+    ["labelled"],
+)
+def first_gradient(t):
+    rows = E.class_weights(E.index_labels(t.labelled.select("doc_id", "text", "label")))
+    classes = rows.agg(F.max("label_id")).first()[0] + 1
+    sparse = sparse_rows(rows, EPOCH_FEATURES)
+    slope, _, _ = gradient(sparse, np.zeros((classes, EPOCH_FEATURES)))
+    # As many rows as the model has weights.
+    cells = [(c, j, float(x)) for c, line in enumerate(slope) for j, x in enumerate(line)]
+    out = t.spark.createDataFrame(cells, "label_id int, feature int, gradient double")
+    return out.withColumn("gradient", F.round("gradient", 9) + F.lit(0.0))
+
+
+@query("training_epochs")
+def trained_by_epochs(t):
+    rows = E.index_labels(t.labelled.select("doc_id", "text", "label"))
+    fit = fit_by_epochs(rows, "doc_id", rows.agg(F.max("label_id")).first()[0] + 1, features=EPOCH_FEATURES, epochs=6)
+    return t.spark.createDataFrame(
+        [(e.number, e.loss, e.held_out_loss, e.accuracy, e.f1, k == fit.best) for k, e in enumerate(fit.epochs)],
+        "epoch int, loss double, held_out_loss double, accuracy double, f1_weighted double, is_best boolean",
+    )
+
+
 # Flagship ---------------------------------------------------------------------
 TEXT_WEIGHTS = [[1.2, -0.4, 0.3], [-0.8, 1.1, 0.2], [0.1, 0.2, -0.6]]
 TEXT_BIAS = [-0.2, 0.1, 0.4]

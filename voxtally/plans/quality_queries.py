@@ -136,6 +136,33 @@ def text_length_profile(t):
     return _rounded(P.text_length_profile(t.texts, ["lang"]), "avg_chars", "avg_words")
 
 
+def _sql_quartiles(name: str, column: str) -> str:
+    shares = (25, 50, 75)
+    return ", ".join(f"round(quantile_cont({column}, {s / 100}), 6) AS q{s}_{name}" for s in shares)
+
+
+@query(
+    "text_length_quartiles",
+    f"""SELECT source, {_sql_quartiles("chars", "c")}, {_sql_quartiles("words", "w")}
+        FROM (SELECT source, length(text)::DOUBLE AS c, len({sql_tokens("text")})::DOUBLE AS w FROM documents)
+        GROUP BY source""",
+)
+def text_length_quartiles(t):
+    found = P.text_length_quartiles(t.texts, ["source"])
+    return _rounded(found, *(c for c in found.columns if c != "source"))
+
+
+@query(
+    "value_counts_by_summaries",
+    """SELECT source, n, round(n * 100.0 / total, 6)::DOUBLE AS percentage
+       FROM (SELECT source, count(*) AS n, sum(count(*)) OVER () AS total
+             FROM documents GROUP BY source)
+       ORDER BY n DESC, source LIMIT 5""",
+)
+def value_counts_by_summaries(t):
+    return _rounded(P.value_counts_by_summaries(t.documents, "source", 5, capacity=10), "percentage")
+
+
 @query(
     "first_rows",
     "SELECT doc_id, lang, source, n_chars FROM documents ORDER BY doc_id LIMIT 10",
