@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxtally.operators.groups import assign_ids_in_order
+
 # Ids up to this number go to every task (8 bytes each); more are joined by a shuffle.
 MAX_BROADCAST_IDS = 2_000_000
 
@@ -54,6 +56,35 @@ def only(df: DataFrame, ids: DataFrame, key: str, bound: int = MAX_BROADCAST_IDS
     return df.join(ids, key, "left_semi")
 
 
+def keys_repeat(rows: DataFrame, key: str) -> bool:
+    """Whether two rows share a key. Only the keys are read and shuffled."""
+    counts = rows.select(key).filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    return counts.filter("n > 1").limit(1).count() > 0
+
+
+def numbered_rows(rows: DataFrame, key: str, *content: str) -> tuple[DataFrame, str]:
+    """The rows with a key, written once, and the name of a column that numbers them.
+
+    Numbers follow the key; rows of one key go by a digest of ``content``, and rows that
+    are equal in that as well are numbered in any order. Operators that need unique keys
+    work on the numbers.
+    """
+    number, digest = "_row", "_digest"
+    while number in rows.columns or digest in rows.columns:
+        number, digest = number + "_", digest + "_"
+    parts = (F.coalesce(F.sha2(F.col(c).cast("string").cast("binary"), 256), F.lit("-")) for c in content)
+    keyed = rows.filter(F.col(key).isNotNull()).withColumn(digest, F.concat_ws(":", *parts))
+    return assign_ids_in_order(keyed, [key], digest, number).drop(digest), number
+
+
+def merged_rows(rows: DataFrame, key: str, content: str) -> DataFrame:
+    """Rows (key, content, copies): those that are equal in both are one."""
+    digest = F.coalesce(F.sha2(F.col(content).cast("string").cast("binary"), 256), F.lit("-"))
+    keyed = rows.filter(F.col(key).isNotNull()).select(key, content, digest.alias("_digest"))
+    merged = keyed.groupBy(key, "_digest").agg(F.first(content).alias(content), F.count("*").alias("copies"))
+    return merged.select(key, content, "copies")
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a text column, one after another, and where each text starts.
 

@@ -22,7 +22,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtally.llm.common import LOWER, binary_array, only, text_bytes, written
+from voxtally.llm.common import (
+    LOWER,
+    MAX_BROADCAST_IDS,
+    binary_array,
+    keys_repeat,
+    numbered_rows,
+    only,
+    text_bytes,
+    written,
+)
 
 # Bytes of the first digit besides the length, and how much wider each later digit is.
 HEAD_BYTES = 16
@@ -74,11 +83,42 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     """Rows (doc_id, keep_id, group_size, kept, text_sha256), one per document.
 
     Texts are equal when identical after lower-casing A-Z; NULL counts as empty, so
-    all NULL and empty texts form one group. Of a group the largest key stays. Keys
-    are unique; a NULL key is left out, since no row can be named by it. The digest
-    is reported and decides nothing. An empty table gives no rows. Other columns are
+    all NULL and empty texts form one group. Of a group the row with the largest key stays;
+    if that is the key of several equal rows, one of them. A NULL key is left out, since
+    no row can be named by it. Rows that share a key are rows of their own: each is
+    counted and comes out. The digest is reported and decides nothing. An empty table gives no rows. Other columns are
     not read.
     """
+    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    source = source.filter(F.col("doc_id").isNotNull())
+    if not keys_repeat(source, "doc_id"):
+        return _groups(source, "doc_id", "text")
+    rows, number = numbered_rows(source, "doc_id", "text")
+    found = _groups(rows, number, "text")
+    names = rows.select(F.col(number).alias("_row"), F.col("doc_id").alias("_name"))
+    own = found.withColumnRenamed("doc_id", "_row").join(names, "_row").withColumnRenamed("_name", "doc_id").drop("_row")
+    kept = own.withColumnRenamed("keep_id", "_row").join(names, "_row").withColumnRenamed("_name", "keep_id")
+    return kept.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def keep_one_of_equal(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that :func:`exact_duplicates` keeps, with all their columns.
+
+    Of rows that are equal in key and text one stays, so a row that was delivered twice
+    goes on once.
+    """
+    rows, own = docs.filter(F.col(key).isNotNull()), key
+    if keys_repeat(rows, key):
+        rows, own = numbered_rows(rows, key, text)
+    gone = written(exact_duplicates(rows, own, text).filter(~F.col("kept")).select("doc_id"), "exact-gone")
+    if gone.count() <= MAX_BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    kept = rows.join(gone.withColumnRenamed("doc_id", own), own, "left_anti")
+    return kept.select(*docs.columns)
+
+
+def _groups(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """:func:`exact_duplicates` for unique keys."""
     heads, bodies = _normalised(key, text)
     source = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
     source = source.filter(F.col(key).isNotNull())

@@ -251,7 +251,9 @@ def fit_resampler(
     weights = np.rint(ratio * UNIT).astype(np.int64)
 
     table = written(source.mapInArrow(_scored(weights, seed), "doc_id long, weight long, key long"), "resample-keys")
-    known = table.join(F.broadcast(chosen.filter("held").select("doc_id", "good")), "doc_id").toArrow()
+    known = table.join(F.broadcast(chosen.filter("held").select("doc_id", "good")), "doc_id")
+    # One row for each label, also where rows share an id.
+    known = known.groupBy("doc_id").agg(F.max("weight").alias("weight"), F.max("good").alias("good")).toArrow()
     model = Model(weights, cutoff(np.asarray(known.column("weight")), np.asarray(known.column("good"))))
     k = table.filter(F.col("weight") >= F.lit(model.cutoff)).count()
     if not k:
@@ -267,8 +269,8 @@ def _selected(model: Model) -> F.Column:
 def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Rows (doc_id, log_weight, gumbel_key, kept) of the documents that are drawn.
 
-    A NULL or empty text has weight 0. Keys are unique; rows without a key are left
-    out. Without labels of both kinds every document is kept. An empty table gives no
+    A NULL or empty text has weight 0. Rows without a key are left out; rows that share one
+    come out each by its own weight. Without labels of both kinds every document is kept. An empty table gives no
     rows; other columns are not read.
     """
     model, table = fit_resampler(docs, labels, key, text, **options)

@@ -135,6 +135,14 @@ def scores(net: Network, rows: list[tuple[str, str, str]]) -> np.ndarray:
     inside = np.zeros((len(rows), filters), np.float32)
     outside = np.zeros((len(rows), filters), np.float32)
     jobs: dict[int, list] = {}
+
+    def read(some: list) -> None:
+        codes, parts = np.stack([j[1] for j in some]), np.stack([j[2] for j in some])
+        a, b = _pooled(_windows(net, codes, parts)[1], codes, parts)
+        at = [j[0] for j in some]
+        np.maximum.at(inside, at, a.max(1).astype(np.float32))
+        np.maximum.at(outside, at, b.max(1).astype(np.float32))
+
     for i, (before, value, after) in enumerate(rows):
         step = CHUNK - SPAN + 1
         for at in range(0, max(1, len(value) - SPAN + 1), step):
@@ -143,15 +151,13 @@ def scores(net: Network, rows: list[tuple[str, str, str]]) -> np.ndarray:
             first, last = at == 0, at + CHUNK >= len(value)
             width = -(-(len(part) + 2 * CONTEXT) // 32) * 32
             coded = _coded(before if first else "", part, after if last else "", width)
-            jobs.setdefault(width, []).append((i, *coded))
-    for same in jobs.values():
-        for k in range(0, len(same), 256):
-            some = same[k : k + 256]
-            codes, parts = np.stack([j[1] for j in some]), np.stack([j[2] for j in some])
-            a, b = _pooled(_windows(net, codes, parts)[1], codes, parts)
-            at = [j[0] for j in some]
-            np.maximum.at(inside, at, a.max(1).astype(np.float32))
-            np.maximum.at(outside, at, b.max(1).astype(np.float32))
+            waiting = jobs.setdefault(width, [])
+            waiting.append((i, *coded))
+            # Read as soon as there are enough, so that a very long value takes no more memory.
+            if len(waiting) == 256:
+                read(jobs.pop(width))
+    for waiting in jobs.values():
+        read(waiting)
     logits = np.concatenate([inside, outside], axis=1) @ net.out + net.shift
     scale, shift = net.calibration
     return 1 / (1 + np.exp(-np.clip(scale * logits + shift, -60, 60)))
@@ -363,17 +369,22 @@ def fit_network(
     text: str = "text",
     sample: int = 1500,
     recall: float = 0.95,
+    stretch: int = 200_000,
 ) -> Network:
     """Train on the ``sample`` documents whose keys come first in a seeded order.
 
     Only the network is fitted on a bounded sample; scanning reads every document. The
-    ids are chosen from the key column alone, then their texts are read.
+    ids are chosen from the key column alone, then their texts are read, one for each id;
+    of a text longer than ``stretch`` characters, so many of them from a seeded place.
     """
     ids = docs.select(F.col(key).cast("long").alias(key)).filter(F.col(key).isNotNull())
-    ids = ids.orderBy(F.xxhash64(F.lit(7), key), key).limit(sample)
-    # At most ``sample`` rows: a proven bound for the broadcast and for the driver.
-    chosen = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("t"))
-    found = chosen.join(F.broadcast(ids.distinct()), key, "left_semi").toArrow()
+    ids = ids.distinct().orderBy(F.xxhash64(F.lit(7), key), key).limit(sample)
+    # At most ``sample`` rows of ``stretch`` characters: a proven bound for the broadcast and for the driver.
+    t = F.col(text).cast("string")
+    place = F.pmod(F.xxhash64(F.lit(8), key), F.greatest(F.length(t) - stretch, F.lit(1))) + 1
+    cut = F.when(F.length(t) > stretch, F.substring(t, place.cast("int"), stretch)).otherwise(t)
+    chosen = docs.select(F.col(key).cast("long").alias(key), cut.alias("t"))
+    found = chosen.join(F.broadcast(ids), key, "left_semi").groupBy(key).agg(F.min("t").alias("t")).toArrow()
     texts = [t or "" for t in found.sort_by(key).column("t").to_pylist()]
     return train(*labelled_findings(texts), recall=recall)
 
@@ -416,7 +427,8 @@ def scan_secrets(docs: DataFrame, net: Network, key: str = "doc_id", text: str =
     """Rows (doc_id, n_assign, n_access, n_hex, base_sha256, spans), one per document.
 
     ``spans`` lists kind:start:end in code points, those of the network as ``model``; it
-    adds candidates that touch no base span. A NULL or empty text has no spans. An
+    adds candidates that touch no base span. A NULL or empty text has no spans. Rows come
+    out as they are: repeated ones are repeated, and a NULL key stays. An
     empty table gives no rows; other columns are not read.
     """
     source = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
@@ -429,7 +441,7 @@ def scan_secrets(docs: DataFrame, net: Network, key: str = "doc_id", text: str =
 def redact_secrets(docs: DataFrame, net: Network, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The same rows with every found span replaced by ``mark``; spans that touch are one.
 
-    A NULL text stays NULL. All other columns are kept as they are.
+    A NULL text stays NULL. All other columns, and all rows, are kept as they are.
     """
 
     at = docs.columns.index(text)

@@ -3,7 +3,8 @@
 Groups of equal texts stay together. Groups are handed out in descending size, each
 to the least loaded shard, which a heap gives. Groups of one size are alike to the
 heap, so it is fed with how many groups there are of each size and not with the
-groups: the driver sees one row per size class, never a document. Classes are exact
+groups: the driver sees one row per size class, never a document, and gives out all
+rounds of a class at once. Classes are exact
 below 2 ** 12 bytes and keep 12 leading bits above, so there are at most 4096 for each
 doubling of the size, whatever the input. Which group of a class goes to which shard
 follows from its rank in the class, counted in parts that are equally large.
@@ -23,36 +24,53 @@ from voxtally.llm.common import text_bytes, written
 
 CLASS_BITS = 12
 ROW_OVERHEAD = 16
+# Pairs of a class and a shard, 12 bytes each, that are sent to every task.
+MAX_PLAN = 1_000_000
 # Rows that one task ranks.
 PART_ROWS = 50_000
 
 
+def _taken(loads: np.ndarray, size: float, count: int) -> np.ndarray:
+    """How many of ``count`` groups of one size each shard gets, each going to the least loaded.
+
+    A shard takes its next group when its load is the least, so the groups go to the
+    ``count`` smallest of all ``load + i * size``. All of these below some level are taken
+    whatever the order; the level is found by bisection, and a heap gives out the last round.
+    """
+    behind = (loads - loads.min()) / size
+
+    def below(level: int) -> np.ndarray:
+        return np.maximum(np.ceil(level - behind), 0).astype(np.int64)
+
+    low, high = 0, count + 1
+    while high - low > 1:
+        level = (low + high) // 2
+        low, high = (level, high) if int(below(level).sum()) <= count else (low, level)
+    taken = below(low)
+    left = count - int(taken.sum())
+    heap = list(zip((loads + taken * size).tolist(), range(len(loads))))
+    heapq.heapify(heap)
+    for _ in range(left):
+        taken[heapq.heappop(heap)[1]] += 1
+    return taken
+
+
 def schedule(classes: list[tuple[int, int, int]], shards: int) -> list[tuple[int, list[int], list[int]]]:
     """Longest-processing-time scheduling of (class, count, bytes) rows.
 
     Gives for every class the shards that take groups of it and, next to them, how
     many groups they and the shards before them take. Equal loads go to the lowest
-    shard. When all loads lie within one group of each other, the next ``shards``
-    groups go to each shard once, so whole rounds are given out at once.
+    shard. A class costs about as many steps as there are shards, however many groups
+    it has and however uneven the loads are.
     """
-    heap = [(0.0, j) for j in range(shards)]
+    loads = np.zeros(shards)
     out = []
     for name, count, total in sorted(classes, key=lambda c: -c[2] / c[1]):
-        size, taken, left = total / count, [0] * shards, count
-        while left:
-            if left >= shards and max(heap)[0] - heap[0][0] <= size:
-                rounds = left // shards
-                heap = [(load + rounds * size, j) for load, j in heap]
-                heapq.heapify(heap)
-                taken = [n + rounds for n in taken]
-                left -= rounds * shards
-                continue
-            load, j = heap[0]
-            heapq.heapreplace(heap, (load + size, j))
-            taken[j] += 1
-            left -= 1
-        users = [j for j in range(shards) if taken[j]]
-        out.append((name, users, np.cumsum([taken[j] for j in users]).tolist()))
+        size = total / count
+        taken = _taken(loads, size, count)
+        loads = loads + taken * size
+        users = np.flatnonzero(taken)
+        out.append((name, users.tolist(), np.cumsum(taken[users]).tolist()))
     return out
 
 
@@ -130,8 +148,14 @@ def shard_by_bytes(docs: DataFrame, shards: int, key: str = "doc_id", text: str
             }
         )
     )
+    # A plan is a number or two for each shard and size class. A large one is joined by a
+    # shuffle: it has one row for a class, so a frequent class can be split.
+    if sum(len(users) for _, users, _ in plan) <= MAX_PLAN:
+        plan_rows = F.broadcast(plan_rows)
+    else:
+        plan_rows = written(plan_rows, "shard-plan")
     total = groups.count()
-    placed = _ranked(groups, "class", "first", "rank", total).join(F.broadcast(plan_rows), "class")
+    placed = _ranked(groups, "class", "first", "rank", total).join(plan_rows, "class")
     # The first user whose running count is above the rank.
     index = F.size(F.filter("upto", lambda n: n <= F.col("rank")))
     placed = placed.select("content", F.get("users", index).alias("shard"))

@@ -20,7 +20,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtally.llm.common import LOWER, blocks, components, text_bytes, written
+from voxtally.llm.common import (
+    LOWER,
+    MAX_BROADCAST_IDS,
+    blocks,
+    components,
+    keys_repeat,
+    numbered_rows,
+    text_bytes,
+    written,
+)
 
 MAX_BITS = 3
 SEED = 42
@@ -223,8 +232,8 @@ def simhash_components(
     Words are runs without ASCII white space, A-Z is lower-cased, shingles have ``size``
     words, and a text with fewer words is one shingle. A NULL, empty or blank text has
     the fingerprint zero, which links like any other. ``component_id`` is the smallest
-    id reachable over links. Keys are unique; rows without a key are left out. An empty
-    table gives no rows; other columns are not read.
+    id reachable over links. Rows without a key are left out; rows that share one come out
+    each with its own fingerprint. An empty table gives no rows; other columns are not read.
     """
     source = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
     source = source.filter(F.col(key).isNotNull())
@@ -269,9 +278,16 @@ def simhash_components(
 
 
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
-    """The documents with the smallest id of their component, with all their columns."""
-    found = written(simhash_components(docs, key, text, size), "simhash-kept")
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(key))
-    if gone.count() <= 2_000_000:
+    """The documents with the smallest id of their component, with all their columns.
+
+    Rows without a key are left out. Of rows that share the smallest key of a component one
+    stays, that with the smaller digest of its text.
+    """
+    rows, own = docs.filter(F.col(key).isNotNull()), key
+    if keys_repeat(rows, key):
+        rows, own = numbered_rows(rows, key, text)
+    found = written(simhash_components(rows, own, text, size), "simhash-kept")
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(own))
+    if gone.count() <= MAX_BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.filter(F.col(key).isNotNull()).join(gone, key, "left_anti")
+    return rows.join(gone, own, "left_anti").select(*docs.columns)

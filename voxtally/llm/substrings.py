@@ -28,7 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtally.llm.common import blocks, only, span_hashes, text_bytes, word_bounds, written
+from voxtally.llm.common import (
+    blocks,
+    keys_repeat,
+    merged_rows,
+    numbered_rows,
+    only,
+    span_hashes,
+    text_bytes,
+    word_bounds,
+    written,
+)
 
 GRAM = 20
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
@@ -272,11 +282,20 @@ def remove_repeats(
     words that covers it also begins in a document with a smaller id; repeats inside
     one document stay. Windows are judged on the input. ``kept_text`` is NULL for
     documents that lose nothing, and always without ``with_text``. A NULL text has no
-    words. Keys are unique; rows without a key are left out. An empty table gives no
+    words. Rows without a key are left out. Rows that are equal in key and text are one
+    document and come out alike, each of them; rows that share a key and differ are
+    documents one after another, by a digest of the text. An empty table gives no
     rows; other columns are not read.
     """
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     source = source.filter(F.col("doc_id").isNotNull())
+    if keys_repeat(source, "doc_id"):
+        rows, number = numbered_rows(merged_rows(source, "doc_id", "text"), "doc_id", "text")
+        found = remove_repeats(rows.drop("doc_id"), number, "text", length, gram, with_text)
+        names = rows.select(F.col(number).alias("_row"), F.col("doc_id").alias("_name"), "copies")
+        each = found.withColumnRenamed("doc_id", "_row").join(names, "_row")
+        each = each.withColumn("_copy", F.explode(F.expr("sequence(1L, copies)")))
+        return each.select(F.col("_name").alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept_text")
     ranges = repeated_ranges(docs, key, text, length, gram)
     touched = only(source, ranges.select("doc_id"), "doc_id").join(ranges, "doc_id")
     removed = touched.mapInArrow(

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxtally.llm.common import components, written
+from voxtally.llm.common import components, keys_repeat, merged_rows, numbered_rows, written
 
 COSINE = 0.9
 SAMPLE = 20_000
@@ -241,9 +241,21 @@ def linked_vectors(
 
     Vectors link at a cosine of at least ``cosine``. NULL vectors, zero vectors and those
     with a NULL or non-finite component link with nothing, and vectors of different
-    lengths do not link. Keys are unique; rows without a key are left out. An empty
-    table gives no rows; other columns are not read.
+    lengths do not link. Rows without a key are left out. Rows that are equal in key and
+    vector are one vector and come out alike, but at most one of them is kept; rows that
+    share a key and differ are vectors of their own. An empty table gives no rows; other
+    columns are not read.
     """
+    if keys_repeat(table, key):
+        merged = merged_rows(table.select(F.col(key).cast("long").alias("vec_id"), vector), "vec_id", vector)
+        rows, number = numbered_rows(merged, "vec_id", vector)
+        found = linked_vectors(rows.select(F.col(number).alias("vec_id"), vector), "vec_id", vector, cosine)
+        names = rows.select(F.col(number).alias("_row"), F.col("vec_id").alias("_name"), "copies")
+        own = found.withColumnRenamed("vec_id", "_row").join(names, "_row").drop("_row").withColumnRenamed("_name", "vec_id")
+        roots = names.select(F.col("_row").alias("component_id"), F.col("_name").alias("_root"))
+        each = own.join(roots, "component_id").withColumn("_copy", F.explode(F.expr("sequence(1L, copies)")))
+        one = F.col("kept") & (F.col("_copy") == 1)
+        return each.select("vec_id", "n_links", F.col("_root").alias("component_id"), one.alias("kept"))
     eps = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
     single = table.schema[vector].dataType == T.ArrayType(T.FloatType(), True)
     kind = np.float32 if single else np.float64
@@ -269,9 +281,14 @@ def linked_vectors(
             ),
             "grid-leaves",
         )
-        # Dense numbers in the order of the sequence: one narrow row per interval.
-        number = F.row_number().over(Window.orderBy("place")).cast("long") - 1
-        boxes = written(leaves.select("place", "lo", "hi").withColumn("leaf", number), "grid-boxes")
+        # Dense numbers in the order of the sequence, from the counts of the tasks that cut it.
+        task = F.shiftright("place", 24)
+        counts = leaves.groupBy(task.alias("task")).agg(F.count("*").alias("n"))
+        before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+        boxes = leaves.select("place", "lo", "hi", task.alias("task")).join(F.broadcast(counts), "task")
+        leaf = F.col("before") + F.col("place").bitwiseAND((1 << 24) - 1)
+        boxes = written(boxes.select("place", "lo", "hi", leaf.cast("long").alias("leaf")), "grid-boxes")
         pairs = _surviving(boxes.select("leaf", "lo", "hi"), eps)
         sides = pairs.select("i", "j", F.col("i").alias("leaf"), F.lit(0).alias("side")).union(
             pairs.filter("i < j").select("i", "j", F.col("j").alias("leaf"), F.lit(1).alias("side"))

@@ -25,14 +25,17 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxtally.llm.common import MAX_BROADCAST_IDS, scratch, written
+from voxtally.llm.common import MAX_BROADCAST_IDS, keys_repeat, numbered_rows, scratch, written
 
 ARCHIVE_BYTES = 64 << 20
 BLOCK_LINES = 1000
 DIRECTORY_ENTRIES = 65_536
+# Bytes of archives that one task reads.
+TASK_BYTES = 16 << 20
 # Lines that one task sorts into blocks.
 PART_LINES = 200_000
 CAPTURED = "1970-01-01T00:00:00Z"
@@ -127,11 +130,12 @@ def _writer(root: str, limit: int):
 
 
 class Archive:
-    """Archives in ``root``, blocks of the index, and how many directory entries apart they are."""
+    """Archives in ``root`` with their bytes, blocks of the index, and how many directory entries apart they are."""
 
-    def __init__(self, root: str, blocks: DataFrame):
+    def __init__(self, root: str, blocks: DataFrame, size: int):
         self.root = root
         self.blocks = blocks
+        self.size = size
         total = blocks.count()
         self.stride = max(1, -(-total // DIRECTORY_ENTRIES))
         heads = blocks.filter(F.col("number") % self.stride == 0).orderBy("number").select("first")
@@ -151,8 +155,8 @@ def write_archive(
     ``root`` is a new folder in ``spark.checkpoint.dir`` unless given; every executor must
     reach it by that path. A NULL html is an empty payload, a NULL url an empty URI.
     Of equal payloads of at least ``least_bytes`` bytes, the smallest page id is the
-    response and the others are revisits. Page ids are unique; rows without one are left
-    out. Other columns are not read.
+    response and the others are revisits. Page ids are unique here (see
+    :func:`archived_pages`); rows without one are left out. Other columns are not read.
     """
     spark = pages.sparkSession
     root = root or scratch(spark, "warc")
@@ -187,25 +191,35 @@ def write_archive(
     parts = max(1, -(-captures.count() // PART_LINES))
     ordered = captures.repartitionByRange(parts, "key").sortWithinPartitions("key")
     blocks = ordered.select("key", "archive", "at", "length").mapInArrow(
-        _blocks(block_lines), "first string, lines int, data binary"
+        _blocks(block_lines), "first string, lines int, data binary, task int, place long"
     )
     blocks = written(blocks, "warc-blocks")
-    # One narrow row per block.
-    numbers = blocks.select("first", (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("number"))
-    return Archive(root, written(blocks.join(numbers, "first"), "warc-index"))
+    # Numbers in the order of the keys, from the counts of the tasks that cut the index.
+    counts = blocks.groupBy("task").agg(F.count("*").alias("n"))
+    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    index = blocks.join(F.broadcast(counts), "task")
+    index = index.select("first", "lines", "data", (F.col("before") + F.col("place")).cast("long").alias("number"))
+    size = captures.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    return Archive(root, written(index, "warc-index"), size)
 
 
 def _blocks(size: int):
     def cut(batches):
         lines: list[tuple] = []
+        task, place = TaskContext.get().partitionId(), 0
 
         def block(some):
+            nonlocal place
             text = "\n".join(" ".join(map(str, line)) for line in some)
+            place += 1
             return pa.RecordBatch.from_pydict(
                 {
                     "first": [some[0][0]],
                     "lines": pa.array([len(some)], pa.int32()),
                     "data": [zlib.compress(text.encode())],
+                    "task": pa.array([task], pa.int32()),
+                    "place": pa.array([place - 1], pa.int64()),
                 }
             )
 
@@ -315,8 +329,10 @@ def read_records(archive: Archive, places: DataFrame, with_payload: bool = True)
         if source is not None:
             source.close()
 
-    # Archives have a bounded size, so that the rows of one do not make a task too large.
-    dealt = places.repartition("archive").sortWithinPartitions("archive", "at")
+    # Archives have a bounded size, so that the rows of one do not make a task too large. The
+    # rows are narrow and tell nothing of what is read, so the number of tasks is given.
+    tasks = max(1, -(-archive.size // TASK_BYTES))
+    dealt = places.repartition(tasks, "archive").sortWithinPartitions("archive", "at")
     return dealt.select("archive", "at", "length").mapInArrow(
         read,
         "page_id long, url string, record_type string, refers_to long, payload_digest string,"
@@ -328,8 +344,17 @@ def archived_pages(spark: SparkSession, pages: DataFrame, least_bytes: int = 0)
     """Write the pages, look every one of them up, and read it back.
 
     Rows (page_id, payload_bytes, payload_digest, record_type, refers_to). The bytes of a
-    revisit are those of the response it refers to. An empty table gives no rows.
+    revisit are those of the response it refers to. Rows that share a page id are records
+    of their own: they are numbered in the order of the ids, the archives hold the
+    numbers, and the rows that come out the ids. An empty table gives no rows.
     """
+    if keys_repeat(pages, "page_id"):
+        rows, number = numbered_rows(pages.select("page_id", "url", "html"), "page_id", "url", "html")
+        out = archived_pages(spark, rows.select(F.col(number).alias("page_id"), "url", "html"), least_bytes)
+        names = rows.select(F.col(number).alias("_row"), F.col("page_id").cast("long").alias("_name"))
+        own = out.withColumnRenamed("page_id", "_row").join(names, "_row").withColumnRenamed("_name", "page_id").drop("_row")
+        named = own.withColumnRenamed("refers_to", "_row").join(names, "_row", "left").withColumnRenamed("_name", "refers_to")
+        return named.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     archive = write_archive(pages, least_bytes=least_bytes)
     records = written(read_records(archive, lookup(archive, pages), with_payload=False), "warc-read")
     bytes_of = records.filter("record_type = 'response'").select(
