@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtally.llm.common import written
-from voxtally.llm.exact import exact_duplicates
+from voxtally.llm.exact import keep_one_of_equal
 from voxtally.llm.packing import pack_documents
 from voxtally.llm.resampling import keep_resampled
 from voxtally.llm.secrets import fit_network, redact_secrets
@@ -20,12 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest id."""
-    groups = written(exact_duplicates(docs), "stage-exact")
-    gone = groups.filter(~F.col("kept")).select("doc_id")
-    if gone.count() <= 2_000_000:
-        gone = F.broadcast(gone)
-    return docs.filter(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of equal texts, the row with the largest id; of rows that were delivered twice, one."""
+    return keep_one_of_equal(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
