@@ -84,8 +84,8 @@ def odd_texts(seed, n):
 def encoded(m, text):
     norm, alignment = m.normalised(text)
     entries = [m.entries([w])[0] for w in m.cut(norm)]
-    ids = [int(i) for e in entries for i in np.frombuffer(e[2], np.int32)]
-    sizes = np.frombuffer(b"".join(e[3] for e in entries), np.int32).astype(np.int64)
+    ids = [int(i) for e in entries for i in e[0].split(" ")]
+    sizes = np.frombuffer(b"".join(e[1] for e in entries), np.int32).astype(np.int64)
     if alignment is None:
         return ids, [], []
     upto = np.cumsum(sizes)

@@ -165,6 +165,15 @@ class Model:
                     right.append(b)
                     ranks.append(r)
         self.pairs = Pairs(left, right, ranks)
+        # By rank: the id as text, the bytes of the piece, and what it shows.
+        self.text_of = [str(i) for i in self.id_of.tolist()]
+        spelled = [self.pieces[i] for i in self.id_of.tolist()]
+        self.size_of = np.array([len(p.encode()) for p in spelled], np.int32)
+        self.shown_of = [p.replace(MARK, " ") for p in spelled]
+        self.rank_of_point = np.full(0x110000, len(usable), np.int32)
+        for piece, r in self.rank.items():
+            if len(piece) == 1:
+                self.rank_of_point[ord(piece)] = r
         self.merged = {(a, b): r for a, b, r in zip(left, right, ranks)}
         # Merges of equal score come leftmost first, which a replay over all words does not know.
         # As a rule only runs of marks have such; else every word is merged on its own.
@@ -306,56 +315,69 @@ class Model:
                 offer(before[i], i)
         return [t for t in token if t >= 0]
 
-    def _merged(self, words: list[str]) -> list[list[int]]:
-        """Symbols of every word after all merges, named by rank; what is not a piece keeps the last number."""
-        none, rank = len(self.id_of) - 1, self.rank
-        lengths = np.array([len(w) for w in words], np.int64)
-        token = np.fromiter((rank.get(c, none) for w in words for c in w), np.int32, int(lengths.sum()))
-        left, counts, apart = replay(token, lengths, self.pairs)
-        left, upto, out, start = left.tolist(), np.cumsum(lengths), [], 0
-        for end in np.cumsum(counts).tolist():
-            out.append(left[start:end])
-            start = end
-        for i in np.flatnonzero(apart | np.array([self.own_way(w) is not None for w in words])):
-            out[i] = self.one_word(token[upto[i] - lengths[i] : upto[i]].tolist())
-        return out
+    def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of all words after all merges, and where those of each word end.
 
-    def entries(self, words: list[str]) -> list[tuple[str, int, bytes, bytes, str]]:
-        """Of each distinct word: ids as text, their number, ids and source-side bytes of the pieces, what they decode to."""
+        Symbols are named by rank; a character that is no piece keeps the last number.
+        """
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        token = self.rank_of_point[points]
+        left, counts, apart = replay(token, lengths, self.pairs)
+        apart |= np.fromiter((self.own_way(w) is not None for w in words), bool, len(words))
+        if not apart.any():
+            return left, np.cumsum(counts)
+        upto, ends = np.cumsum(lengths), np.cumsum(counts)
+        parts = np.split(left, ends[:-1])
+        for i in np.flatnonzero(apart):
+            parts[i] = np.array(self.one_word(token[upto[i] - lengths[i] : upto[i]].tolist()), np.int32)
+        return np.concatenate(parts), np.cumsum([len(p) for p in parts])
+
+    def entries(self, words: list[str]) -> list[tuple[str, bytes, str]]:
+        """Of each distinct word: ids as text, the bytes of the source each piece stands for (32-bit), what the ids show."""
         recall, keep = self.known.recall, self.known.keep
         found = [recall(w, _held) for w in words]
         new = [i for i, entry in enumerate(found) if entry is None]
         if not new:
             return found
         none = len(self.id_of) - 1
-        for i, symbols in zip(new, self._merged([words[i] for i in new])):
-            word, ids, sizes, at = words[i], [], [], 0
-            for s in symbols:
-                if s != none:
-                    piece = self.pieces[self.id_of[s]]
-                    ids.append(int(self.id_of[s]))
-                    sizes.append(len(piece.encode()))
-                    at += len(piece)
-                    continue
-                char = word[at].encode()
-                at += 1
-                if self.byte_ids:
-                    # All bytes but the last stand for nothing; the last for the character.
-                    ids += [self.byte_ids[b] for b in char]
-                    sizes += [0] * (len(char) - 1) + [len(char)]
-                else:
-                    ids.append(self.unknown)
-                    sizes.append(len(char))
-            entry = (
-                " ".join(map(str, ids)),
-                len(ids),
-                np.array(ids, np.int32).tobytes(),
-                np.array(sizes, np.int32).tobytes(),
-                self.shown(ids),
-            )
-            found[i] = keep(word, entry, len(word) + _held(entry))
+        symbols, ends = self._merged([words[i] for i in new])
+        odd = np.logical_or.reduceat(symbols == none, np.r_[0, ends[:-1]])
+        sizes = self.size_of[symbols].tobytes()
+        numbers = symbols.tolist()
+        texts = list(map(self.text_of.__getitem__, numbers))
+        shown = list(map(self.shown_of.__getitem__, numbers))
+        start = 0
+        for i, end, unknown in zip(new, ends.tolist(), odd.tolist()):
+            if unknown:
+                entry = self._with_bytes(words[i], numbers[start:end])
+            else:
+                entry = " ".join(texts[start:end]), sizes[4 * start : 4 * end], "".join(shown[start:end])
+            found[i] = keep(words[i], entry, len(words[i]) + _held(entry))
+            start = end
         return found
 
+    def _with_bytes(self, word: str, symbols: list[int]) -> tuple[str, bytes, str]:
+        """An entry of :meth:`entries` for a word with characters that are no pieces."""
+        ids, sizes, at = [], [], 0
+        for s in symbols:
+            if s != len(self.id_of) - 1:
+                piece = self.pieces[self.id_of[s]]
+                ids.append(int(self.id_of[s]))
+                sizes.append(len(piece.encode()))
+                at += len(piece)
+                continue
+            char = word[at].encode()
+            at += 1
+            if self.byte_ids:
+                # All bytes but the last stand for nothing; the last for the character.
+                ids += [self.byte_ids[b] for b in char]
+                sizes += [0] * (len(char) - 1) + [len(char)]
+            else:
+                ids.append(self.unknown)
+                sizes.append(len(char))
+        return " ".join(map(str, ids)), np.array(sizes, np.int32).tobytes(), self.shown(ids)
+
     def cut(self, text: str) -> list[str]:
         """Words that are merged independently of each other; together they are the text."""
         if self.words is None:
@@ -399,8 +421,8 @@ class Model:
         return self.shown(ids)[self.leading(ids) :]
 
 
-def _held(entry) -> int:
-    return len(entry[0]) + len(entry[2]) + len(entry[3]) + 4 * len(entry[4]) + 300
+def _held(entry: tuple[str, bytes, str]) -> int:
+    return len(entry[0]) + len(entry[1]) + len(entry[2]) + 200
 
 
 def _utf8(data: bytes) -> str:
@@ -447,31 +469,28 @@ def _encoder(key: str, text: str, path: str, with_pieces: bool):
                 coded.append([number.setdefault(w, len(number)) for w in m.cut(norm)])
                 aligned.append(alignment)
             entries = m.entries(list(number))
+            texts, sizes_of, shown = ([e[k] for e in entries] for k in range(3))
             out = {c: [] for c in ("n", "ids_sha", "text_sha", "crc", "ids", "first", "last", "decoded")}
             for words, alignment in zip(coded, aligned):
-                known = [entries[w] for w in words]
-                joined = " ".join([*(e[0] for e in known), end])
-                out["n"].append(sum(e[1] for e in known) + 1)
+                joined = " ".join([*[texts[w] for w in words], end])
                 out["ids_sha"].append(hashlib.sha256(joined.encode()).hexdigest())
-                front = (i for e in known for i in np.frombuffer(e[2], np.int32).tolist())
-                decoded = "".join([e[4] for e in known])[m.leading(front) :]
+                front = (int(i) for w in words for i in texts[w].split(" "))
+                decoded = "".join([shown[w] for w in words])[m.leading(front) :]
                 out["text_sha"].append(hashlib.sha256(decoded.encode()).hexdigest())
                 # Pieces to source bytes; the end id stands behind the last one.
-                sizes = np.frombuffer(b"".join([e[3] for e in known]), np.int32).astype(np.int64)
-                if alignment is None:
-                    last = first = np.zeros(1, np.int64)
-                else:
-                    upto = np.cumsum(sizes)
-                    bounds = alignment.source(np.r_[upto - sizes, upto])
-                    size = np.array([alignment.source_size])
-                    first, last = np.r_[bounds[: len(sizes)], size], np.r_[bounds[len(sizes) :], size]
-                spans = np.stack([first, last], axis=1).astype("<u4").tobytes()
+                sizes = np.frombuffer(b"".join([sizes_of[w] for w in words]), np.int32)
+                out["n"].append(len(sizes) + 1)
+                bounds = np.zeros(len(sizes) + 2, np.int64)
+                np.cumsum(sizes, out=bounds[1:-1])
+                if alignment is not None:
+                    bounds[:-1] = alignment.source(bounds[:-1])
+                    bounds[-1] = bounds[-2]
+                spans = np.stack([bounds[:-1], bounds[1:]], axis=1).astype("<u4")
                 out["crc"].append(zlib.crc32(spans))
                 if with_pieces:
-                    ids = np.frombuffer(b"".join([*(e[2] for e in known), end_id]), np.int32)
-                    out["ids"].append(ids.tolist())
-                    out["first"].append(first.tolist())
-                    out["last"].append(last.tolist())
+                    out["ids"].append([int(i) for i in joined.split(" ")])
+                    out["first"].append(bounds[:-1].tolist())
+                    out["last"].append(bounds[1:].tolist())
                     out["decoded"].append(decoded)
             columns = [
                 block.column(key),
