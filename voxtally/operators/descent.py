@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from voxtally.functions.text import tokenize
 from voxtally.operators.features import class_weights
 from voxtally.operators.groups import split_by_share
-from voxtally.operators.metrics import class_scores, outcome_counts
+from voxtally.operators.metrics import class_scores
 from voxtally.operators.training import SPLIT_SEED, VALIDATION_SHARE
 
 # Partial sums that the driver adds up itself.
