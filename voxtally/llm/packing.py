@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from voxtally.llm.common import Recent, blocks, written
 
 GROUP_PIECES = 60_000
-# Bytes of the words, and of the letters of words, that a Python worker remembers in one generation.
-MEMORY_BYTES = 64 << 20
+# Bytes of the words that a Python worker remembers in one generation.
+MEMORY_BYTES = 48 << 20
 END_ID = 0
 
 _WORDS: dict = {}
@@ -36,8 +36,8 @@ class Words:
 
     The vocabulary drops white space and never joins what it separates, and lower-cases
     letter by letter, so a word of letters with one comma or full stop after it is the
-    letters and the mark. Letters go to the merges directly; all other words go through the
-    whole tokenizer.
+    letters and the mark, and a word with capitals is that without. Letters go to the merges
+    directly; all other words go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -48,7 +48,6 @@ class Words:
         self.letters: dict[str, str | None] = {}
         self.number = [np.uint32(i).tobytes() for i in range(self.tokenizer.get_vocab_size())]
         self.ids = Recent(self._word, MEMORY_BYTES)
-        self.piece = Recent(self._piece, MEMORY_BYTES).__getitem__
 
     def _word(self, word: str) -> bytes:
         if not word:
@@ -59,8 +58,11 @@ class Words:
             known = self.letters
             spelled = [known[c] if c in known else self._letter(c) for c in stem]
             if None not in spelled:
-                ids = self.piece("".join(spelled))
-                return ids + self.piece(mark) if mark else ids
+                if mark:
+                    return self.ids[stem] + self.ids[mark]
+                if stem.isascii() and not stem.islower():
+                    return self.ids[stem.lower()]
+                return b"".join([self.number[t.id] for t in self.merge("".join(spelled))])
         [encoded] = self.tokenizer.encode_batch_fast([word], add_special_tokens=False)
         return b"".join([self.number[i] for i in encoded.ids])
 
@@ -73,9 +75,6 @@ class Words:
         self.letters[letter] = spelled
         return spelled
 
-    def _piece(self, piece: str) -> bytes:
-        return b"".join([self.number[t.id] for t in self.merge(piece)])
-
 
 def encoded(texts: list[str], path: str) -> list[bytes]:
     """Token ids of each text as little-endian 32-bit numbers, words remembered per worker."""

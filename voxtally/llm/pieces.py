@@ -4,8 +4,8 @@ A text is first normalised: at every position the longest prefix that the compil
 character map of the model knows is replaced, all other characters stand for
 themselves, and blanks become a visible mark. The map is a double-array trie inside
 the model file; it is unfolded once per worker. What a normalised character came
-from is kept as runs (normalised byte, source byte, source length), so that every piece is projected to
-the bytes of the source that it stands for.
+from is kept as runs (normalised byte, source byte, one to one or not), so that every
+piece is projected to the bytes of the source that it stands for.
 
 Pieces are merged as in byte-level BPE, highest score first. No piece holds the mark
 behind another character, so the words between marks are independent; the distinct

@@ -36,6 +36,8 @@ SEED = 42
 BLOCK_BYTES = 2 << 20
 # Fingerprints sharing a segment value from which its variants are split once more.
 HOT_SEGMENT = 50_000
+# Such segment values whose variants, 32 each, are sent to every task.
+MAX_HOT = 10_000
 # Rows compared with each other at once.
 COMPARED = 2048
 
@@ -242,10 +244,9 @@ def simhash_components(
 
     variants = nodes.select("fp", "rep", F.explode(F.expr("sequence(0L, 63L)")).alias("v"))
     variants = variants.select("fp", "rep", F.expr(VARIANT).alias("key"))
-    # Segment values of very many fingerprints: at most 2 * nodes / HOT_SEGMENT of them,
-    # and so few that they can be sent to every task.
+    # Segment values of very many fingerprints: at most 2 * nodes / HOT_SEGMENT of them.
     total = nodes.count()
-    bound = max(HOT_SEGMENT, total // 5_000)
+    bound = HOT_SEGMENT
     halves = F.array(F.expr("shiftrightunsigned(fp, 32)"), F.expr("(fp & 4294967295L) | (1L << 32)"))
     hot = nodes.select(F.explode(halves).alias("half")).groupBy("half").count().filter(F.col("count") > bound)
     hot_keys = hot.select(
@@ -255,8 +256,11 @@ def simhash_components(
             "((if(half >= (1L << 32), 32L, 0L) + bit) << 32) | (half & 4294967295L & ~shiftleft(1L, cast(bit as int)))"
         ).alias("key")
     )
-    if total > bound and hot.limit(1).count():
-        marked = variants.join(F.broadcast(hot_keys.distinct().withColumn("hot", F.lit(True))), "key", "left")
+    n_hot = hot.count() if total > bound else 0
+    if n_hot:
+        hot_keys = written(hot_keys.distinct().withColumn("hot", F.lit(True)), "simhash-hot")
+        # Beyond the bound they are joined by a shuffle, in which a frequent key can be split.
+        marked = variants.join(F.broadcast(hot_keys) if n_hot <= MAX_HOT else hot_keys, "key", "left")
         # Variants of the half that is not in the key: two quarters, one bit left out of one.
         rest = "if((key >> 32) < 32, fp & 4294967295L, shiftrightunsigned(fp, 32))"
         quarter = f"(if(w < 16, shiftright({rest}, 16), {rest} & 65535L) & 65535L & ~shiftleft(1L, cast(w & 15 as int)))"
