@@ -101,14 +101,14 @@ def test_documents_with_labels_that_were_not_shown(spark):
 
 WIDE = string.ascii_letters + string.digits
 
-# Shapes that the training values are not made of.
+# Shapes that the training values are not made of (the last two are close to some), and the
+# share of them that is to be found. Hex in groups of 8, 4, 4, 4 and 12 is that of plain ids.
 SHAPES = {
-    "prefix and base 62": lambda r: "AIza" + "".join(r.choices(WIDE + "_-", k=35)),
-    "dotted": lambda r: "SG." + "".join(r.choices(WIDE, k=22)) + "." + "".join(r.choices(WIDE, k=43)),
-    "base 32": lambda r: "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=52)),
-    "hex in groups": lambda r: "-".join("".join(r.choices("0123456789abcdef", k=k)) for k in (8, 4, 4, 4, 12)),
-    "small letters and digits": lambda r: "".join(r.choices(string.ascii_lowercase + string.digits, k=32)),
-    "long prefix": lambda r: "glpat-" + "".join(r.choices(WIDE, k=20)),
+    "prefix and base 62": (0.8, lambda r: "AIza" + "".join(r.choices(WIDE + "_-", k=35))),
+    "dotted": (0.8, lambda r: "SG." + "".join(r.choices(WIDE, k=22)) + "." + "".join(r.choices(WIDE, k=43))),
+    "base 32": (0.8, lambda r: "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=52))),
+    "long prefix": (0.8, lambda r: "glpat-" + "".join(r.choices(WIDE, k=20))),
+    "small letters and digits": (0.4, lambda r: "".join(r.choices(string.ascii_lowercase + string.digits, k=32))),
 }
 
 
@@ -119,17 +119,26 @@ def network(spark):
 
 @pytest.mark.parametrize("name", sorted(SHAPES))
 def test_recall_on_shapes_that_were_not_made(network, name):
-    rng = random.Random(name)
+    rng, (share, make) = random.Random(name), SHAPES[name]
     found = asked = 0
     for _ in range(200):
-        text = f"please use {SHAPES[name](rng)} for the service"
+        text = f"please use {make(rng)} for the service"
         for a, b in secrets.candidates(text, secrets.base_spans(text)):
             asked += 1
             row = (text[max(0, a - secrets.CONTEXT) : a], text[a:b], text[b : b + secrets.CONTEXT])
             found += secrets.scores(network, [row])[0] >= network.threshold
     # Values that a base pattern takes are not asked about.
-    assert asked >= 150 or name == "hex in groups"
-    assert found >= 0.8 * asked, (found, asked)
+    assert asked >= 150 and found >= share * asked, (found, asked)
+
+
+def test_ordinary_runs_of_other_documents_stay(spark, network):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").filter("doc_id > 5000").limit(1500)
+    texts = [r["text"] or "" for r in docs.collect()]
+    rows = []
+    for t in texts:
+        for a, b in secrets.candidates(t, secrets.base_spans(t)):
+            rows.append((t[max(0, a - secrets.CONTEXT) : a], t[a:b], t[b : b + secrets.CONTEXT]))
+    assert rows and (secrets.scores(network, rows) >= network.threshold).mean() < 0.05
 
 
 def test_a_very_long_value_is_read_in_pieces(network, monkeypatch):
@@ -139,4 +148,4 @@ def test_a_very_long_value_is_read_in_pieces(network, monkeypatch):
     rng = random.Random(1)
     value = "".join(rng.choices(WIDE, k=300_000))
     assert secrets.scores(network, [("", value, "")])[0] >= network.threshold
-    assert max(sizes) <= 256 * (secrets.CHUNK + 2 * secrets.CONTEXT + 32)
+    assert max(sizes) <= 2 * secrets.READ_AT_ONCE

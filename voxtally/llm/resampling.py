@@ -33,7 +33,7 @@ SAMPLE = 20_000
 # Weights are kept in units of 2 ** -20.
 UNIT = 1 << 20
 BASE = 0x9E3779B97F4A7C15
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 # Keeping a good document counts as much as rejecting this many bad ones.
 KEEP_WEIGHT = 20
 

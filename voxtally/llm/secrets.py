@@ -48,6 +48,8 @@ MIN_VALUE = 6
 KINDS = ("assign", "access", "hex", "model")
 CONTEXT = 24
 CHUNK = 512
+# Characters that go through the network at once.
+READ_AT_ONCE = 24_576
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -153,8 +155,8 @@ def scores(net: Network, rows: list[tuple[str, str, str]]) -> np.ndarray:
             coded = _coded(before if first else "", part, after if last else "", width)
             waiting = jobs.setdefault(width, [])
             waiting.append((i, *coded))
-            # Read as soon as there are enough, so that a very long value takes no more memory.
-            if len(waiting) == 256:
+            # Read as soon as there are enough, so that long values take no more memory than short ones.
+            if len(waiting) * width >= READ_AT_ONCE:
                 read(jobs.pop(width))
     for waiting in jobs.values():
         read(waiting)
@@ -272,6 +274,7 @@ def _asked(before: str, value: str, after: str) -> bool:
 
 
 _WIDE = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+_SMALL = "abcdefghijklmnopqrstuvwxyz0123456789"
 
 
 def _other_key(rng: random.Random) -> str:
@@ -290,6 +293,8 @@ def _other_key(rng: random.Random) -> str:
             lambda: draw(rng.randint(20, 64)),
             lambda: draw(rng.randint(24, 64), "0123456789ABCDEF"),
             lambda: draw(rng.randint(40, 160), _WIDE + "+/") + "==",
+            lambda: draw(rng.randint(24, 64), _SMALL),
+            lambda: draw(rng.randint(3, 6), _SMALL[:26]) + rng.choice("-_") + draw(rng.randint(20, 40)),
         ]
     )()
 
