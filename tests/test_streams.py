@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,6 +169,56 @@ def test_deletion_wins_within_a_batch(spark, tmp_path):
     assert [tuple(r) for r in counts.read().collect()] == [(1, "y", 1)]
 
 
+def _worked_off(rows, checkpoint):
+    """What a stateful stream gives, and the rows of its state."""
+    given = []
+    with S.rocksdb(rows.sparkSession):
+        writer = rows.writeStream.foreachBatch(lambda df, _: given.extend(tuple(r) for r in df.collect()))
+        running = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        running.awaitTermination()
+    return given, running.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+
+def test_state_is_asked_for_buckets_not_for_keys(spark, tmp_path):
+    source, counted, firsts = (str(tmp_path / n) for n in ("in", "counted", "firsts"))
+    landed = [
+        [(i, i % 3, "x", 0, False) for i in range(600)],
+        [(i, i % 3, "y" if i % 2 else "x", 1, i % 5 == 0) for i in range(300, 900)],
+    ]
+    stream = land(spark, source, landed[0], CHANGES)
+    given, state = _worked_off(S.signed_rows(stream, ["id"], ["req", "label"], buckets=4), counted)
+    assert Counter(given) == Counter((i % 3, "x", 1) for i in range(600)) and state <= 4
+    first, state = _worked_off(S.first_of_key(stream, ["id"], ["version"], buckets=4), firsts)
+    assert {r[:-1] for r in first} == set(landed[0]) and len(first) == 600 and state <= 4
+
+    stream = land(spark, source, landed[1], CHANGES)
+    given, state = _worked_off(S.signed_rows(stream, ["id"], ["req", "label"], buckets=4), counted)
+    want = Counter()
+    for i, req, label, _, deleted in landed[1]:
+        if deleted or label == "y":
+            want[(req, "x", -1)] += i < 600
+        if not deleted and (label == "y" or i >= 600):
+            want[(req, label, 1)] += 1
+    assert Counter(given) == want and state <= 4
+    first, state = _worked_off(S.first_of_key(stream, ["id"], ["version"], buckets=4), firsts)
+    assert {r[:-1] for r in first} == set(landed[1][300:]) and len(first) == 300 and state <= 4
+
+
+def test_keys_of_a_state_are_equal_as_those_of_a_group(spark, tmp_path):
+    ddl = "number double, time timestamp, bytes binary, text string, at int"
+    noon, nan = datetime(2024, 5, 1, 12), float("nan")
+    keys = [(0.0, None, None, "a"), (nan, None, None, None), (None,) * 4, (None, None, None, "null"), (None, None, None, "")]
+    keys += [(1.0, noon, None, 'a"b'), (1.0, noon.replace(microsecond=1), None, 'a"b'), (1.0, None, bytearray(b"\xff"), "a")]
+    keys += [(1.0, None, bytearray(b"\xfe"), "a"), (None, None, None, "a")]
+    source, sink, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    for number in range(2):
+        df = spark.createDataFrame([(*k, number) for k in keys] + [(-0.0, None, None, "a", number)], ddl)
+        df.coalesce(1).write.mode("append").parquet(source)
+        stream = I.read_stream(spark, source, df.schema)
+        S.work_off(S.first_of_key(stream, ["number", "time", "bytes", "text"], ["at"], buckets=2), sink, progress)
+        assert spark.read.parquet(sink).count() == len(keys)
+
+
 def test_state_provider_is_put_back(spark):
     before = spark.conf.get(S.PROVIDER)
     with S.rocksdb(spark):

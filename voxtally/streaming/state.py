@@ -1,7 +1,8 @@
 """Keyed state without a watermark: nothing that comes late is lost.
 
-The state of a key lives in RocksDB next to the executor and in the checkpoint, so it
-may be larger than memory, and a run that is started again goes on from it.
+The state of the keys lives in RocksDB next to the executor and in the checkpoint, so it
+may be larger than memory, and a run that is started again goes on from it. It is kept in
+buckets of keys, whose number must stay the same for a checkpoint.
 """
 
 from __future__ import annotations
@@ -12,12 +13,22 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
+from pyspark.sql.types import (
+    BooleanType,
+    DoubleType,
+    FloatType,
+    IntegerType,
+    StringType,
+    StructField,
+    StructType,
+)
 
 from voxtally.streaming.batches import BATCH, SNAPSHOT, numbered_folders
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# A bucket should hold some hundreds of keys, a few thousand at most.
+BUCKETS = 1 << 13
 
 
 @contextmanager
@@ -38,85 +49,122 @@ def work_off(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append"
         writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-class _First(StatefulProcessor):
-    """Remembers the order of the first row of a key, and lets a row pass that is before it."""
+def _in_buckets(stream: DataFrame, key: Sequence[str], buckets: int) -> DataFrame:
+    """Gives every row its key as text, which is equal where the key columns are, and the bucket of that key."""
+
+    floats = [f.name for f in stream.schema if f.dataType in (FloatType(), DoubleType())]
+    # 0.0 and -0.0 are one key.
+    plain = lambda c: F.when(F.col(c) == 0, F.abs(c)).otherwise(F.col(c)) if c in floats else F.col(c)
+    times = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    text = F.to_json(F.struct(*(plain(c).alias(f"k{i}") for i, c in enumerate(key))), {**times, "timeZone": "UTC"})
+    return stream.withColumn("_key", text).withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.lit(buckets)).cast("int"))
+
+
+class _Buckets(StatefulProcessor):
+    """The state of a bucket is one array per column: the keys, and what is remembered of each.
+
+    Every call to the state goes to the JVM and back, and every group gives out a batch of its
+    own, so there is one of these for a bucket and not for a key.
+    """
 
-    def __init__(self, order: Sequence[str], kept: str, columns: Sequence[str]):
-        self.order, self.kept, self.columns = list(order), kept, list(columns)
+    def __init__(self, kept: StructType):
+        columns = [StructField("key", StringType()), *kept.fields]
+        self.ddl = ", ".join(f"{f.name} array<{f.dataType.simpleString()}>" for f in columns)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.best = handle.getValueState("first", self.kept)
+        self.state = handle.getValueState("keys", self.ddl)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        place = lambda r: tuple((r[c] is not None, r[c]) for c in self.order)
-        known = self.best.get() if self.best.exists() else None
-        first = None
-        for row in rows:
-            if first is None or place(row) < place(first):
-                first = row
-        if known is not None and place(first) >= tuple((x is not None, x) for x in known):
-            return
-        self.best.update(tuple(first[c] for c in self.order))
-        yield Row(**{c: first[c] for c in self.columns}, is_correction=known is not None)
+    def known(self) -> dict[str, tuple]:
+        return {key: tuple(kept) for key, *kept in zip(*self.state.get())} if self.state.exists() else {}
+
+    def keep(self, known: dict[str, tuple]) -> None:
+        self.state.update(tuple(map(list, zip(*((key, *kept) for key, kept in known.items())))))
 
     def close(self) -> None:
         pass
 
 
-def first_of_key(stream: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+class _First(_Buckets):
+    """Remembers the order of the first row of a key, and lets a row pass that is before it."""
+
+    def __init__(self, order: Sequence[str], kept: StructType, columns: Sequence[str]):
+        super().__init__(kept)
+        self.order, self.columns = list(order), list(columns)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        firsts = {}
+        for row in rows:
+            at, place = row["_key"], tuple((row[c] is not None, row[c]) for c in self.order)
+            if at not in firsts or place < firsts[at][0]:
+                firsts[at] = place, row
+        known, changed = self.known(), []
+        for at, (place, row) in firsts.items():
+            before = known.get(at)
+            if before is None or place < tuple((x is not None, x) for x in before):
+                known[at] = tuple(row[c] for c in self.order)
+                changed.append((row, before is not None))
+        if changed:
+            self.keep(known)
+        for row, correction in changed:
+            yield Row(**{c: row[c] for c in self.columns}, is_correction=correction)
+
+
+def first_of_key(stream: DataFrame, key: Sequence[str], order: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
     """Rows whose key was not seen before, however late they come.
 
     A row that is before the one given out for its key by ``order`` is given out as well, with
     ``is_correction`` set; whoever keeps the rows then replaces the other one. Repeated
-    deliveries and later rows give nothing. State is one small row per key, for ever.
+    deliveries and later rows give nothing. State is one small entry per key, for ever, in
+    ``buckets`` that are read and written whole; their number stays with the checkpoint.
     NULLs are first in the order.
     """
-    kept = StructType([stream.schema[c] for c in order])
+    kept = StructType([StructField(f"o{i}", stream.schema[c].dataType) for i, c in enumerate(order)])
     out = StructType([*stream.schema.fields, StructField("is_correction", BooleanType())])
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.fields)
-    processor = _First(order, ddl, stream.columns)
-    return stream.groupBy(*key).transformWithState(
-        statefulProcessor=processor, outputStructType=out, outputMode="Append", timeMode="None"
+    return _in_buckets(stream, key, buckets).groupBy("_bucket").transformWithState(
+        statefulProcessor=_First(order, kept, stream.columns), outputStructType=out, outputMode="Append", timeMode="None"
     )
 
 
-class _Signed(StatefulProcessor):
+class _Signed(_Buckets):
     """Remembers what a key counts for, and gives out what a change takes away and adds."""
 
-    def __init__(self, by: Sequence[str], version: str, deleted: str, kept: str):
-        self.by, self.version, self.deleted, self.kept = list(by), version, deleted, kept
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.now = handle.getValueState("counted", self.kept)
+    def __init__(self, by: Sequence[str], version: str, deleted: str, kept: StructType):
+        super().__init__(kept)
+        self.by, self.version, self.deleted = list(by), version, deleted
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        known = self.now.get() if self.now.exists() else None
-        # The value is (version, counted or not, what it counts for).
-        last = None
+        lasts = {}
         for row in rows:
-            if row[self.version] is None:
+            at, place = row["_key"], (row[self.version], row[self.deleted])
+            if place[0] is not None and (at not in lasts or place > lasts[at][0]):
+                lasts[at] = place, tuple(row[c] for c in self.by)
+        # The value is (version, counted or not, what it counts for).
+        known, changed, signed = self.known(), False, []
+        for at, ((version, deleted), values) in lasts.items():
+            now = known.get(at)
+            if now is not None and version <= now[0]:
                 continue
-            if last is None or (row[self.version], row[self.deleted]) > (last[self.version], last[self.deleted]):
-                last = row
-        if last is None or (known is not None and last[self.version] <= known[0]):
-            return
-        values = tuple(last[c] for c in self.by)
-        counts = not last[self.deleted]
-        self.now.update((last[self.version], counts, *values))
-        before = tuple(known[2:]) if known is not None and known[1] else None
-        if counts and before == values:
-            return
-        if before is not None:
-            yield Row(**dict(zip(self.by, before)), delta=-1)
-        if counts:
-            yield Row(**dict(zip(self.by, values)), delta=1)
-
-    def close(self) -> None:
-        pass
+            known[at], changed = (version, not deleted, *values), True
+            before = now[2:] if now is not None and now[1] else None
+            if not deleted and before == values:
+                continue
+            if before is not None:
+                signed.append((before, -1))
+            if not deleted:
+                signed.append((values, 1))
+        if changed:
+            self.keep(known)
+        for values, delta in signed:
+            yield Row(**dict(zip(self.by, values)), delta=delta)
 
 
 def signed_rows(
-    changes: DataFrame, key: Sequence[str], by: Sequence[str], version: str = "version", deleted: str = "deleted"
+    changes: DataFrame,
+    key: Sequence[str],
+    by: Sequence[str],
+    version: str = "version",
+    deleted: str = "deleted",
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """What a stream of changes does to counts by ``by``: rows of ``by`` with a ``delta`` of 1 or -1.
 
@@ -125,16 +173,16 @@ def signed_rows(
     for the old ones, and a deleted one no longer counts. Changes that are not newer than what
     is known of the key change nothing; in one batch, a deletion is newer than a change of the
     same version. Changes without a version are left out. The old values come from the
-    state, not from the store.
+    state, not from the store: one small entry per key, in ``buckets`` that are read and written
+    whole; their number stays with the checkpoint.
     """
     schema = changes.schema
-    kept = ", ".join(
-        [f"version {schema[version].dataType.simpleString()}", "counts boolean"]
-        + [f"v{i} {schema[c].dataType.simpleString()}" for i, c in enumerate(by)]
-    )
+    kept = [StructField("version", schema[version].dataType), StructField("counts", BooleanType())]
+    kept = StructType(kept + [StructField(f"v{i}", schema[c].dataType) for i, c in enumerate(by)])
     out = StructType([*(StructField(c, schema[c].dataType) for c in by), StructField("delta", IntegerType())])
-    filled = changes.withColumn(deleted, F.coalesce(deleted, F.lit(False)))
-    return filled.groupBy(*key).transformWithState(
+    needed = dict.fromkeys(["_bucket", "_key", version, deleted, *by])
+    dealt = _in_buckets(changes, key, buckets).withColumn(deleted, F.coalesce(deleted, F.lit(False))).select(*needed)
+    return dealt.groupBy("_bucket").transformWithState(
         statefulProcessor=_Signed(by, version, deleted, kept), outputStructType=out, outputMode="Append", timeMode="None"
     )
 
@@ -148,8 +196,8 @@ class RunningCounts:
     themselves is never read.
     """
 
-    def __init__(self, spark: SparkSession, path: str, by: Sequence[str]):
-        self.spark, self.path, self.by = spark, path.rstrip("/"), list(by)
+    def __init__(self, spark: SparkSession, path: str, by: Sequence[str], buckets: int = BUCKETS):
+        self.spark, self.path, self.by, self.buckets = spark, path.rstrip("/"), list(by), buckets
 
     def run(self, changes: DataFrame, key: Sequence[str], version: str = "version", deleted: str = "deleted") -> None:
         """Count all changes that have arrived; the progress and the state are kept with the counts."""
@@ -159,7 +207,7 @@ class RunningCounts:
             summed.write.mode("overwrite").parquet(f"{self.path}/{BATCH}={number}")
 
         with rocksdb(self.spark):
-            rows = signed_rows(changes, key, self.by, version, deleted)
+            rows = signed_rows(changes, key, self.by, version, deleted, self.buckets)
             writer = rows.writeStream.foreachBatch(write).outputMode("append")
             writer = writer.option("checkpointLocation", f"{self.path}/progress")
             writer.trigger(availableNow=True).start().awaitTermination()
